@@ -1,0 +1 @@
+"""The engine's operators are batch operators; no streaming operator exists to re-express."""
