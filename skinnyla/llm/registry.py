@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from skinnyla.llm import token_counts
+from skinnyla.llm import licenses, packing, personal_data, token_counts
 
 
 def queries() -> dict:
     return {
+        "op4_license_scans": licenses.query,
+        "op5_packing": packing.query,
+        "op7_personal_data": personal_data.query,
         "op10_token_counts": token_counts.query,
     }
 
