@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,31 @@ PIECES = "doc_id long, copy int, start long, length long, ids_crc32 long, doc_to
 PACKED = "doc_id long, copy int, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# Fixed value: the splitting pattern of the vocabulary file.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit words.
 
-    Words at white space are encoded once and kept, which is exact where the splitting pattern never
-    joins two of them and normalisation leaves their characters' count alone: texts of the listed
-    characters. Others go to the library whole. cache_entries bounds the memory of the word cache.
+    Words at white space and their parts are encoded once and kept, which is exact for texts of the
+    listed characters: normalisation does nothing to them but lower their case, and the splitting
+    pattern never joins two words. Other texts go to the library whole. cache_entries bounds the memory
+    of the word cache.
     """
 
     def __init__(self, path: str, cache_entries: int = 600_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.parts = Tokenizer.from_file(path)  # for one part at a time, already lower-cased
+        self.parts.normalizer = None
+        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.other = re.compile("[^\n\t\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ–—‘’“”…€]").search
-        self.words: dict[str, bytes] = {}
+        self.other = re.compile("[^\n\t\r\x20-\x7e\xa1-\xac\xae-\u012f\u0132-\u017f\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac]").search
+        self.split = regex.compile(WORD_PARTS).findall
+        self.known: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
     def whole(self, text: str) -> bytes:
@@ -48,22 +59,22 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.other(text) or any(x in text for x in self.special):
             return self.whole(text)
-        words, known = text.lower().split(), self.words
+        words, known = text.lower().split(), self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > self.cache_entries:
                 known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            made = {w: pack_ids(e.ids) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            new = {w: [w] if w.isalpha() else self.split(w) for w in set(words).difference(known)}
+            parts = list({p for x in new.values() for p in x}.difference(known))
+            made = {p: pack_ids(e.ids) for p, e in zip(parts, self.parts.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
+            made |= {w: b"".join([known[p] if p in known else made[p] for p in x]) for w, x in new.items() if len(x) > 1}
             known.update((w, x) for w, x in made.items() if len(w) <= 64)
             return b"".join([known[w] if w in known else made[w] for w in words])
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def fill(counts: dict[int, int], order: list[int], room: int) -> dict[int, int]:
@@ -164,7 +175,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, n_docs
         base = int(pdf["bucket"].iloc[0]) << 32
         return pdf.drop(columns="bucket").assign(sequence_id=[base + k for k in seq], offset=off)
 
-    bucket = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64("doc_id", "copy", "start", "ids_crc32"), F.lit(buckets))
     return pieces(docs, path, window, end_id, id_col, text_col, copy_col).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, PACKED)
 
 
