@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skinnyla.llm import fingerprints, licenses, mixing, neighbours, packing, personal_data, token_counts, url_filters
+from skinnyla.llm import fingerprints, licenses, mixing, neighbours, packing, personal_data, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_url_filters": url_filters.query,
         "op7_personal_data": personal_data.query,
         "op8_mixing": mixing.query,
+        "op9_toxicity": toxicity.query,
         "op10_token_counts": token_counts.query,
     }
 
