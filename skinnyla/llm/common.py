@@ -59,8 +59,12 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) else (data[:0], np.zeros(1, np.int64))
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in rows if b.num_rows)
+def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about most bytes, so that what is made of them stays small."""
+    for b in rows:
+        step = max(1, b.num_rows // max(1, b.nbytes // most))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def tokenizer_path(name: str) -> str:

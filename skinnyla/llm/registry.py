@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skinnyla.llm import fingerprints, licenses, mixing, neighbours, packing, personal_data, token_counts, toxicity, url_filters
+from skinnyla.llm import fingerprints, licenses, mixing, near_duplicates, neighbours, packing, personal_data, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_neighbours": neighbours.query,
+        "op2_ngram_jaccard_join": near_duplicates.query,
         "op3_fingerprints": fingerprints.query,
         "op4_license_scans": licenses.query,
         "op5_packing": packing.query,
