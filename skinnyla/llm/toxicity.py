@@ -4,8 +4,8 @@ Counts of character trigrams over all documents make the language model. A word
 repetition may have changed spans a lattice of characters; Viterbi decoding picks the cheapest path
 under the model and the channel. Words with one path are themselves. Restored words and their
 beginnings are looked up in a lexicon of smoothed log odds, learned from a bounded sample of labelled
-rows; a logistic curve, fitted to half of these rows with a lexicon of the other half, turns a text's
-evidence into a score.
+rows; a logistic curve turns a text's evidence into a score. It is fitted to the same rows, each judged
+by the lexicon as it would be without that row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skinnyla.llm.common import batches, cut, per_worker, table, texts_of, utf8_buffer
+from skinnyla.llm.near_duplicates import signatures
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -144,7 +145,7 @@ def features(word: str) -> list[str]:
 
 
 class Scorer:
-    def __init__(self, costs: np.ndarray, lexicon: dict[str, float], curve: tuple[float, float, float], cache_entries: int = 700_000):
+    def __init__(self, costs: np.ndarray, lexicon: dict[str, float], curve: tuple[float, float], cache_entries: int = 700_000):
         restore = self.restore = Restorer(costs)
         self.curve = curve
 
@@ -159,39 +160,70 @@ class Scorer:
 
         self.words, self.lexicon = Words(), lexicon
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        """The strongest evidence of a word, and the sum of the next three distinct words'."""
+    def evidence(self, text: str) -> float:
+        """The strongest evidence of a word, and a third of that of the next three distinct words."""
         low = text.lower()
         found = [e for e in map(self.words.__getitem__, set(low.split())) if e > 0]
         found += [e for w in self.restore.spaced(low) if (e := evidence_of(w, self.lexicon)) > 0]
-        if not found:
-            return 0.0, 0.0
         found.sort(reverse=True)
-        return found[0], sum(found[1:4])
+        return found[0] + sum(found[1:4]) / 3 if found else 0.0
 
     def __call__(self, text: str) -> float:
-        a, b, c = self.curve
-        x, y = self.evidence(text)
-        return float(1 / (1 + np.exp(-(a * x + b * y + c))))
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-(a * self.evidence(text) + b))))
 
 
 def evidence_of(word: str, lexicon: dict[str, float]) -> float:
     return max((lexicon.get(f, 0.0) for f in features(word)), default=0.0)
 
 
-def learn_lexicon(train: DataFrame, costs: np.ndarray, least: int = 3) -> dict[str, float]:
-    """Log odds, at a balance of 1, of each feature that more than its share of toxic texts hold.
+def distinct_texts(train: DataFrame, trees: int = 8) -> DataFrame:
+    """(text, toxic) of the rows (id, text, toxic) that share no bucket of near copies with a smaller id.
 
-    train: (text, toxic) of the bounded sample, so the lexicon is bounded too. Of texts that begin or end
-    alike one counts, or the words of a group of copies would pass for evidence. Counts of documents are
-    summed in each task before the shuffle.
+    Else the words of a group of copies would pass for evidence.
+    """
+    signed = signatures(train, 5, 3, "id", "text").select("node", F.explode(F.slice("keys", 1, trees)).alias("key"))
+    least = signed.groupBy("key").agg(F.min("node").alias("least"))
+    again = signed.join(least, "key").where("node > least").select(F.col("node").alias("id")).distinct()
+    return train.join(again, "id", "left_anti").select("text", "toxic")
+
+
+class Lexicon:
+    """How many toxic and other texts hold a feature, and the log odds of that at a balance of 1."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]], bad: int, good: int, least: int = 3):
+        self.counts, self.bad, self.good, self.least = counts, bad, good, least
+
+    def odds(self, x: int, y: int) -> float:
+        o = log((x + 0.5) / (self.bad + 1)) - log((y + 1.0) / (self.good + 1))
+        return o if x >= self.least and o > 1.0 else 0.0
+
+    def table(self) -> dict[str, float]:
+        return {f: o for f, xy in self.counts.items() if (o := self.odds(*xy)) > 0}
+
+    def without(self, toxic: int) -> "Without":
+        """The odds as they would be had a text that holds the feature not been counted."""
+        return Without(self, toxic)
+
+
+class Without:
+    def __init__(self, lexicon: Lexicon, toxic: int):
+        self.lexicon, self.toxic = lexicon, toxic
+
+    def get(self, feature: str, default: float) -> float:
+        if (xy := self.lexicon.counts.get(feature)) is None:
+            return default
+        return self.lexicon.odds(xy[0] - self.toxic, xy[1] - (1 - self.toxic))
+
+
+def learn_lexicon(train: DataFrame, costs: np.ndarray, least: int = 3) -> Lexicon:
+    """train: (text, toxic) of the bounded sample, so the lexicon is bounded too.
+
+    Counts of texts are summed in each task before the shuffle.
     """
-    for place in (F.substring("text", 1, 40), F.substring("text", -40, 40)):
-        one = F.min(F.struct(F.xxhash64("text"), "text", "toxic")).alias("one")
-        train = train.withColumn("place", place).groupBy("place").agg(one).select("one.text", "one.toxic")
 
     def run(rows):
-        restorer = per_worker(("restorer", costs.tobytes()[:64]), lambda: Restorer(costs))
+        restorer = Restorer(costs)
         n = {0: Counter(), 1: Counter()}
         for b in batches(rows):
             for text, toxic in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
@@ -204,24 +236,21 @@ def learn_lexicon(train: DataFrame, costs: np.ndarray, least: int = 3) -> dict[s
 
     counts = train.mapInArrow(run, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = {r.feature: (r.bad, r.good) for r in counts.where((F.col("feature") == "\0all") | (F.col("bad") >= least) & (F.col("bad") * 2 > F.col("good"))).collect()}
-    bad, good = kept.pop("\0all", (0, 0))
-    odds = {f: log((x + 0.5) / (bad + 1)) - log((y + 1.0) / (good + 1)) for f, (x, y) in kept.items()}
-    return {f: o for f, o in odds.items() if o > 1.0}
+    return Lexicon(kept, *kept.pop("\0all", (0, 0)), least)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, ...]:
-    """Slopes (none below 0) and offset of a logistic curve by Newton's method with a small ridge."""
-    design = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(design.shape[1])
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Slope (not below 0) and offset of a logistic curve by Newton's method with a small ridge."""
+    design, w = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (p - y) + 0.01 * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(len(w))
+        hess = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
         w = w - np.linalg.solve(hess, grad)
-    return (*np.maximum(w[:-1], 0.0).tolist(), float(w[-1]))
+    return float(max(w[0], 0.0)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict[str, float], tuple[float, float, float]]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict[str, float], tuple[float, float]]:
     """(costs of the language model, lexicon, curve).
 
     labels: (id, toxic 0/1); rows with a null in either are left out, and an id that is labelled more
@@ -234,21 +263,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "d
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(most)
     ids = [(r[0], int(r[1] > 0)) for r in own.collect()]
     if not ids:
-        return costs, {}, (0.0, 0.0, 0.0)
+        return costs, {}, (0.0, 0.0)
     own = F.broadcast(docs.sparkSession.createDataFrame(ids, "__id long, toxic int"))  # most rows at the most
     named = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    train = cut(named.join(own, "__id").select("text", "toxic", (F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(2)) == 0).alias("half")))
-    half = learn_lexicon(train.where("half").select("text", "toxic"), costs)
+    train = cut(distinct_texts(cut(named.join(own, "__id").select(F.col("__id").alias("id"), "text", "toxic"))))
+    lexicon = learn_lexicon(train, costs)
 
     def run(rows):
-        scorer = Scorer(costs, half, (0.0, 0.0, 0.0))
+        scorers = [Scorer(costs, lexicon.without(toxic), (0.0, 0.0)) for toxic in (0, 1)]
         for b in batches(rows):
-            x, y = zip(*[scorer.evidence(t) for t in texts_of(b.column(0))], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64()), b.column(1)], names=["x", "y", "toxic"])
+            x = [scorers[toxic].evidence(text) for text, toxic in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], names=["x", "toxic"])
 
-    seen = train.where("not half").select("text", "toxic").mapInArrow(run, "x double, y double, toxic int").toPandas()
-    curve = fit_curve(seen[["x", "y"]].to_numpy(), seen["toxic"].to_numpy())
-    return costs, learn_lexicon(train.select("text", "toxic"), costs), curve
+    seen = train.mapInArrow(run, "x double, toxic int").toPandas()
+    return costs, lexicon.table(), fit_curve(seen["x"].to_numpy(), seen["toxic"].to_numpy())
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
