@@ -47,7 +47,7 @@ CONSTANTS = mix(np.arange(1, 257, dtype=np.uint64) * BASE) | np.uint64(1)
 
 def powers(base: np.uint64, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
     if len(have := _kept.get(int(base), ())) < n:
-        have = _kept[int(base)] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, base)]))
+        have = _kept[int(base)] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + n // 4, base)]))
     return have[:n]
 
 
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, words: int, depth: int, id_col: str, text_col: s
     functions = CONSTANTS[100 : 100 + SKETCH]
 
     def run(rows):
-        for b in batches(rows):
+        for b in batches(rows, 1 << 20):
             sh, upto = shingles(b.column(2), words)
             size = np.diff(upto)
             full = np.flatnonzero(size)
@@ -265,7 +265,7 @@ def verified_links(docs: DataFrame, families: DataFrame, words: int, threshold:
     sizes = cut(sizes.select("label", m.alias("m")).where("m > 1"))
 
     def sets(rows):
-        for b in batches(rows):
+        for b in batches(rows, 1 << 20):
             sh, upto = shingles(b.column(3), words)
             grams = [np.unique(sh[s:e]).tobytes() for s, e in zip(upto[:-1], upto[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(grams, pa.binary())], names=["label", "node", "copies", "grams"])
