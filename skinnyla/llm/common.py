@@ -1,41 +1,16 @@
-"""What the corpus operators share: tables, the checkpoint folder, Arrow helpers."""
+"""What the corpus operators share: Arrow helpers, and the session's tables and shared folder."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-from skinnyla.session import reachable
+from skinnyla.session import cut, new_path, shared_dir, table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. A temporary folder stands in only in local mode."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if own:
-        return own
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="skinnyla-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skinnyla-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["batches", "cut", "new_path", "per_worker", "shared_dir", "table", "texts_of", "tokenizer_path", "utf8_buffer"]
 
 
 def per_worker(key: object, make: Callable[[], object], _kept: dict = {}) -> object:  # noqa: B006
