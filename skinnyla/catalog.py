@@ -1,11 +1,466 @@
-"""Queries of the linear-algebra engine and their DuckDB equivalents."""
+"""Queries of the linear-algebra engine over the driver's tables, and their DuckDB equivalents.
+
+Integer-valued columns are used where results are compared exactly; other values are rounded on both sides.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skinnyla.functions.hashing import SEED, murmur64, murmur64_bytes
+from skinnyla.functions.kernels import symmetric_eigen
+from skinnyla.functions.scalar import block_of, dround, outer_key
+from skinnyla.operators import diagnostics, grouped, qr, relational, ssvd
+from skinnyla.session import new_path, table
+from skinnyla.sources import matrices as mx
+
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+INTS = ["cast(l_quantity as bigint)", "cast(round(l_discount * 100) as bigint)", "cast(round(l_tax * 100) as bigint)", "cast(l_linenumber as bigint)"]
+BT = [[1, 2], [3, -1], [0, 4], [2, 2]]
+BLOCK = 1000
+
+
+# --- matrices ---
+
+
+def line2(spark, d) -> mx.Matrix:
+    return mx.from_table(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], F.lit(0))
+
+
+def int_columns() -> list:
+    return [F.expr(x) for x in INTS]
+
+
+def line_ints(spark, d) -> mx.Matrix:
+    return mx.from_sorted_table(table(spark, d, "lineitem"), int_columns(), KEYS)
+
+
+def part2(spark, d) -> mx.Matrix:
+    return mx.from_table(table(spark, d, "part"), ["p_size", "p_retailprice"], "p_partkey")
+
+
+def part_b(spark, d) -> mx.Matrix:
+    return mx.from_table(table(spark, d, "part"), ["p_partkey", F.col("p_size") + 1], "p_partkey")
+
+
+def line_text(spark, d) -> str:
+    """lineitem's whole numbers as text in the order of the keys, a blank at the end of each line."""
+    path = new_path(spark, "lines")
+    line = F.concat(F.concat_ws(" ", *[c.cast("string") for c in int_columns()]), F.lit(" "))
+    table(spark, d, "lineitem").orderBy(*KEYS).select(line.alias("value")).write.text(path)
+    return path
+
+
+def cells(m: mx.Matrix, kind: str = "bigint") -> DataFrame:
+    return m.rows.select("row_id", *[F.col("v")[j].cast(kind).alias(f"c{j}") for j in range(m.columns)])
+
+
+def counts(spark, d, i: str, j: str) -> DataFrame:
+    """(i, j, val): how many lines have a pair of small whole numbers."""
+    return table(spark, d, "lineitem").groupBy(F.expr(i).cast("int").alias("i"), F.expr(j).cast("int").alias("j")).agg(F.count("*").alias("val"))
+
+
+LINE, TAX, DISCOUNT = "l_linenumber", "round(l_tax * 100)", "round(l_discount * 100)"
+
+
+def bt_frame(spark) -> DataFrame:
+    return spark.createDataFrame([(i, s, v) for i, row in enumerate(BT) for s, v in enumerate(row)], "col_id int, s int, val long")
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def spread(df: DataFrame, vector: str, n: int, digits: int, name: str) -> DataFrame:
+    keys = [c for c in df.columns if c != vector]
+    return df.select(*keys, *[(F.round(F.col(vector)[j], digits) + 0.0).alias(f"{name}{j}") for j in range(n)])
+
+
+# --- queries ---
+
+
+def q_text_matrix_scan(spark, d):
+    return cells(mx.from_text(spark, line_text(spark, d)))
+
+
+def q_infer_colsize(spark, d):
+    return spark.createDataFrame([(mx.infer_columns(mx.read_lines(spark, line_text(spark, d))),)], "n int")
+
+
+def q_block_store_roundtrip(spark, d):
+    path = new_path(spark, "blocks")
+    mx.write_blocks(line_ints(spark, d).blocks(BLOCK), path)
+    return cells(mx.read_blocks(spark, path))
+
+
+def q_path_prefix_filter(spark, d):
+    path = line_text(spark, d)
+    parts = [mx.read_lines(spark, path, p).agg(F.count("*").alias("n")).select(F.lit(p).alias("prefix"), "n") for p in ("part-", "Q-")]
+    return parts[0].unionByName(parts[1])
+
+
+def q_multi_path_union(spark, d):
+    m = mx.from_text(spark, [line_text(spark, d), line_text(spark, d)])
+    return cells(m).groupBy("c0", "c3").agg(F.count("*").alias("n"))
+
+
+def q_rows_per_split(spark, d):
+    return mx.rows_per_split(mx.read_lines(spark, line_text(spark, d))).agg(F.sum("n").alias("n"))
+
+
+def q_validate_cols(spark, d):
+    m = mx.from_text(spark, line_text(spark, d))
+    return m.rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"))
+
+
+def q_parse_rows(spark, d):
+    m = mx.from_text(spark, line_text(spark, d))
+    return m.rows.select("row_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"))
+
+
+def q_block_assign(spark, d):
+    m = line_ints(spark, d)
+    return m.rows.select("row_id", block_of(F.col("row_id"), m.rows.count(), BLOCK).alias("block_id"))
+
+
+def q_block_stack(spark, d):
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x).cast("bigint")
+    return line_ints(spark, d).blocks(BLOCK).select("block_id", "row_start", "m", "n", total.alias("total"))
+
+
+def q_prefix_rows(spark, d):
+    m = line_ints(spark, d)
+    per = m.rows.groupBy(block_of(F.col("row_id"), m.rows.count(), BLOCK).alias("split")).agg(F.count("*").alias("n")).withColumn("file", F.lit("x"))
+    return mx.prefix_rows(per).select(F.col("split").alias("block_id"), "n", F.col("before").cast("bigint").alias("before"))
+
+
+def q_collect_row_matrix(spark, d):
+    r = qr.tsqr(line2(spark, d)).matrix
+    return rounded(spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(r)], "i int, r0 double, r1 double"), 2, "r0", "r1")
+
+
+def q_factor_lookup(spark, d):
+    m = part2(spark, d)
+    factors = spark.range(1, 1000).select(F.col("id").cast("int").alias("block_id"), (F.col("id") * 2).alias("factor"))
+    rows = m.rows.withColumn("block_id", (F.floor(F.col("row_id") / BLOCK) + 1).cast("int")).join(factors, "block_id")
+    return rows.groupBy("block_id").agg(F.sum(F.col("factor") * F.col("v")[0].cast("bigint")).alias("total"))
+
+
+def q_mat_element(spark, d):
+    return line_ints(spark, d).rows.select("row_id", F.posexplode("v").alias("col_id", "val")).withColumn("val", F.col("val").cast("bigint"))
+
+
+def q_mat_column(spark, d):
+    return line_ints(spark, d).rows.select("row_id", F.element_at("v", 3).cast("bigint").alias("val"))
+
+
+def q_dround(spark, d):
+    return table(spark, d, "part").select("p_partkey", dround(F.col("p_retailprice"), 0).alias("rounded"))
+
+
+def q_murmur64(spark, d):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(murmur64(b.column(0).to_numpy()))], names=["k", "h"])
+
+    return table(spark, d, "events").select(F.col("event_id").alias("k")).mapInArrow(run, "k long, h long")
+
+
+def q_murmur64_bytes(spark, d):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([murmur64_bytes((x or "").encode()) for x in b.column(0).to_pylist()], pa.int64())], names=["name", "h"])
+
+    return table(spark, d, "part").select(F.col("p_name").alias("name")).mapInArrow(run, "name string, h long")
+
+
+def q_omega(spark, d):
+    return rounded(ssvd.omega_frame(spark, 16, 5).select(F.col("col_id").alias("i"), F.col("s").alias("j"), F.col("w").alias("val")), 12, "val")
+
+
+def q_outer_block_key(spark, d):
+    block, place = outer_key(F.col("p_partkey"), 300)
+    return table(spark, d, "part").select("p_partkey", block.alias("block"), place.alias("place"))
+
+
+def q_triu_pack(spark, d):
+    return relational.upper(relational.mirror(relational.gram(line_ints(spark, d).rows))).select("i", "j", F.col("val").cast("bigint").alias("val"))
+
+
+def q_nonzero_filter(spark, d):
+    return line_ints(spark, d).coo().groupBy("col_id").agg(F.count("*").alias("n"))
+
+
+def q_local_qr(spark, d):
+    return spread(grouped.grouped_r(table(spark, d, "part"), "p_brand", ["p_size", "p_retailprice"]), "r", 4, 4, "r")
+
+
+def q_matrix_sum(spark, d):
+    rows = line_ints(spark, d).rows
+    parts = [relational.gram(rows.where(F.col("row_id") % 3 == k)) for k in range(3)]
+    return relational.add(*parts).select("i", "j", F.col("val").cast("bigint").alias("val"))
+
+
+def q_bt_rows(spark, d):
+    rows = line_ints(spark, d).rows.select("v", F.slice("v", 1, 2).alias("q"))
+    return relational.outer_sum(rows, "v", "q").select("col_id", "s", F.col("val").cast("bigint").alias("val"))
+
+
+def small_bt(spark, d) -> DataFrame:
+    rows = table(spark, d, "part").select(F.array(F.col("p_size") * 1.0, F.col("p_partkey") % 10 * 1.0).alias("v"))
+    return relational.outer_sum(rows, "v", "v").groupBy("col_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "val"))), lambda x: x["val"]).alias("v"))
+
+
+def q_bbt(spark, d):
+    return relational.gram(small_bt(spark, d)).select("i", "j", F.col("val").cast("bigint").alias("val"))
+
+
+def q_bbt_sum(spark, d):
+    m = line_ints(spark, d)
+    part = m.rows.withColumn("part", F.col("row_id") % 4)
+    left = part.select("part", "v", F.posexplode("v").alias("i", "x")).select("part", "i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
+    partial = left.groupBy("part", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
+    return relational.add(partial.select("i", "j", "val")).select("i", "j", F.col("val").cast("bigint").alias("val"))
+
+
+def q_a_bt_join(spark, d):
+    return relational.times_columns(line_ints(spark, d).coo(), bt_frame(spark)).select("row_id", "s", F.col("val").cast("bigint").alias("val"))
+
+
+def q_a_bt(spark, d):
+    out = ssvd.sketch_dense(line_ints(spark, d), np.array(BT, float))
+    return out.select("row_id", *[F.col("y")[j].cast("bigint").alias(f"y{j}") for j in range(2)])
+
+
+def gemm_query(i1, j1, i2, j2, ta, tb):
+    return lambda spark, d: relational.gemm(counts(spark, d, i1, j1), counts(spark, d, i2, j2), ta, tb)
+
+
+def q_sym_eigen(spark, d):
+    g = np.zeros((2, 2))
+    for x in relational.mirror(relational.gram(part2(spark, d).rows)).collect():
+        g[x.i, x.j] = x.val
+    return rounded(spark.createDataFrame([(i, float(w)) for i, w in enumerate(symmetric_eigen(g)[0])], "i int, w double"), 2, "w")
+
+
+def q_sketch_dense(spark, d):
+    return spread(ssvd.sketch_dense(line_ints(spark, d), ssvd.omega(4, 3)), "y", 3, 8, "y")
+
+
+def q_sketch_sparse(spark, d):
+    return rounded(ssvd.sketch_sparse(line_ints(spark, d).coo(), 4, 3), 8, "y")
+
+
+def q_tsqr_level1(spark, d):
+    m = line2(spark, d)
+    return qr.level1(m.rows, 2, 0, False, 1 << 20).select("group_id", "r")
+
+
+def q_tsqr_r(spark, d):
+    return rounded(qr.tsqr(line2(spark, d)).r(spark), 2, "val")
+
+
+def q_tsqr_q(spark, d):
+    return spread(qr.tsqr(part2(spark, d), keep_q=True).q(), "q", 2, 9, "q")
+
+
+def q_join_q_chain(spark, d):
+    m = part2(spark, d)
+    return spread(qr.tsqr(mx.Matrix(m.rows.repartition(7), 2), "4,2,1", keep_q=True).q(), "q", 2, 9, "q")
+
+
+def q_join_block_q(spark, d):
+    m = part2(spark, d)
+    both = m.rows.join(qr.tsqr(m, keep_q=True).q(), "row_id")
+    return rounded(relational.outer_sum(both, "v", "q").select(F.col("col_id").alias("i"), F.col("s").alias("j"), "val"), 4, "val")
+
+
+def q_qt_a(spark, d):
+    m = part2(spark, d)
+    return rounded(qr.qt_times(m, m).qt_b(spark), 4, "val")
+
+
+def q_qt_b(spark, d):
+    return rounded(qr.qt_times(part2(spark, d), part_b(spark, d), "4,1").qt_b(spark), 4, "val")
+
+
+def q_qr_residual(spark, d):
+    m = part2(spark, d)
+    return rounded(diagnostics.residual(m, qr.tsqr(m, keep_q=True), 100), 6, "mean_abs")
+
+
+def svd2(spark, d, q=0):
+    return ssvd.ssvd(part2(spark, d), 2, 15, q)
+
+
+def q_ssvd_range_q(spark, d):
+    m = line_ints(spark, d)
+    w = ssvd.omega(4, 3)
+    return spread(qr.tsqr(m, "4,1", True, transform=lambda x: x @ w, width=3).q(), "q", 3, 9, "q")
+
+
+def q_ssvd_sigma(spark, d):
+    return rounded(svd2(spark, d).sigma_frame(spark), 4, "sigma")
+
+
+def q_ssvd_power_iter(spark, d):
+    return rounded(svd2(spark, d, 2).sigma_frame(spark), 4, "sigma")
+
+
+def q_topk_sigma(spark, d):
+    return rounded(ssvd.ssvd(part2(spark, d), 1, 1).sigma_frame(spark), 4, "sigma")
+
+
+def q_ssvd_u(spark, d):
+    return spread(svd2(spark, d).u(), "u", 2, 8, "u")
+
+
+def q_ssvd_u_half(spark, d):
+    return spread(svd2(spark, d).u(True), "u", 2, 6, "u")
+
+
+def q_ssvd_v(spark, d):
+    return spread(svd2(spark, d).v(spark), "v", 2, 8, "v")
+
+
+def q_ssvd_v_half(spark, d):
+    return spread(svd2(spark, d).v(spark, True), "v", 2, 5, "v")
+
+
+def q_ssvd_embeddings(spark, d):
+    m = mx.from_array(table(spark, d, "embeddings"), "embedding", "vec_id")
+    return ssvd.ssvd(m, 10, 15, 1).sigma_frame(spark)
+
+
+def q_gen_upper_r(spark, d):
+    return mx.random_upper(spark, 5, 20)
+
+
+def q_qreduce_tree(spark, d):
+    factors = mx.random_upper(spark, 5, 40).select(F.col("key").cast("long").alias("group_id"), F.col("data").alias("r"))
+    r = qr.reduce_tree(factors, 5, "4,1")
+    return spark.createDataFrame([(i, j, float(r[i, j])) for i in range(5) for j in range(i, 5)], "i int, j int, val double")
+
+
+def q_dump_matrix(spark, d):
+    return diagnostics.dump(line_ints(spark, d).blocks(BLOCK).withColumn("data", F.transform("data", lambda x: x.cast("bigint"))))
+
+
+QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
+QUERIES["sym_eigen_2x2"] = QUERIES.pop("sym_eigen")
+QUERIES |= {
+    "gemm_nn": gemm_query(LINE, TAX, TAX, DISCOUNT, False, False),
+    "gemm_tn": gemm_query(LINE, TAX, LINE, DISCOUNT, True, False),
+    "gemm_nt": gemm_query(LINE, TAX, DISCOUNT, TAX, False, True),
+    "gemm_tt": gemm_query(TAX, LINE, DISCOUNT, TAX, True, True),
+}
+
+# --- the same in SQL ---
+
+SORTED = f"SELECT row_number() OVER (ORDER BY {', '.join(KEYS)}) - 1 AS row_id, " + ", ".join(f"{x} AS c{j}" for j, x in enumerate(INTS)) + " FROM lineitem"
+LONG = " UNION ALL ".join(f"SELECT row_id, {j} AS col_id, c{j} AS val FROM s" for j in range(4))
+GRAM = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, CAST(sum(c{i} * c{j}) AS BIGINT) AS val FROM s" for i in range(4) for j in range(i, 4))
+BLOCK_ID = f"CAST(least(row_id // {BLOCK}, greatest((SELECT count(*) FROM lineitem) // {BLOCK} - 1, 0)) + 1 AS INT)"
+PART = "g AS (SELECT sum(p_size::DOUBLE * p_size) AS aa, sum(p_size * p_retailprice) AS ab, sum(p_retailprice * p_retailprice) AS bb FROM part), r AS (SELECT sqrt(aa) AS r11, ab / sqrt(aa) AS r12, sqrt(bb - ab * ab / aa) AS r22 FROM g)"
+PART_Q = f"WITH {PART} SELECT p_partkey AS row_id, round(p_size / r11, 9) + 0.0 AS q0, round((p_retailprice - p_size / r11 * r12) / r22, 9) + 0.0 AS q1 FROM part, r"
+EIGEN = PART.split(", r AS")[0] + ", w AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ^ 2 + ab * ab) AS w0, (aa + bb) / 2 - sqrt(((aa - bb) / 2) ^ 2 + ab * ab) AS w1 FROM g)"
+# the second eigenvalue as determinant over the first, which does not cancel; vectors (ab, w - aa), largest entry positive
+EIGEN += ", e AS (SELECT sqrt(w0) AS s0, sqrt((aa * bb - ab * ab) / w0) AS s1, ab / sqrt(ab * ab + (w0 - aa) ^ 2) AS x, (w0 - aa) / sqrt(ab * ab + (w0 - aa) ^ 2) AS y FROM w)"
+VECTORS = EIGEN + ", v AS (SELECT s0, s1, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END * x AS v00, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END * y AS v10, CASE WHEN abs(y) >= abs(x) THEN sign(y) ELSE -sign(x) END * y AS v01, CASE WHEN abs(y) >= abs(x) THEN sign(y) ELSE -sign(x) END * -x AS v11 FROM e)"
+
+
+def wrap(x: str) -> str:
+    """x modulo 2^64 as an unsigned number."""
+    return f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def murmur_sql(value: str) -> str:
+    """An expression for the signed hash of a non-negative BIGINT expression, by nested subqueries."""
+    m = "14313749767032793493::UHUGEINT"
+    h0 = (SEED ^ 8 * 14313749767032793493) & (1 << 64) - 1
+    k1 = wrap(f"({value})::UHUGEINT * {m}")
+    step = f"(SELECT {wrap(f'xor(k, k >> 47)::UHUGEINT * {m}')} FROM (SELECT {k1} AS k))"
+    mixed = f"(SELECT {wrap(f'xor({h0}::UBIGINT, k)::UHUGEINT * {m}')} FROM (SELECT {step} AS k))"
+    last = f"(SELECT {wrap(f'xor(h, h >> 47)::UHUGEINT * {m}')} FROM (SELECT {mixed} AS h))"
+    done = f"(SELECT xor(h, h >> 47) FROM (SELECT {last} AS h))"
+    return f"(SELECT CASE WHEN h >= 9223372036854775808::UBIGINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END FROM (SELECT {done} AS h))"
+
+
+def omega_sql(i: str, j: str) -> str:
+    return f"{murmur_sql(f'({i})::BIGINT * 4294967296 + ({j})')}::DOUBLE / 18446744073709551616.0"
+
+
+def sketch_sql(columns: str) -> str:
+    w = f"w AS (SELECT i, j, {omega_sql('i', 'j')} AS w FROM range(4) a(i), range(3) b(j))"
+    return f"WITH s AS ({SORTED}), l AS ({LONG}), {w}, y AS (SELECT row_id, j, sum(val * w) AS y, count_if(val <> 0) AS n FROM l JOIN w ON i = col_id GROUP BY row_id, j) {columns}"
+
+
+def gemm_sql(a: str, b: str) -> str:
+    """a, b: (i, k) and (k, j) expressions."""
+    return f"WITH a AS (SELECT {a}, count(*) AS x FROM lineitem GROUP BY ALL), b AS (SELECT {b}, count(*) AS y FROM lineitem GROUP BY ALL) SELECT i::INT AS i, j::INT AS j, CAST(sum(x * y) AS BIGINT) AS val FROM a JOIN b USING (k) GROUP BY i, j"
+
+
+QTB = f"WITH {PART}, c AS (SELECT sum(p_size * p_partkey::DOUBLE) AS a0, sum(p_size * (p_size + 1)::DOUBLE) AS a1, sum(p_retailprice * p_partkey) AS b0, sum(p_retailprice * (p_size + 1)) AS b1 FROM part)"
+ORACLE = {
+    "text_matrix_scan": SORTED,
+    "infer_colsize": f"SELECT CAST(len(string_split(c0 || ' ' || c1 || ' ' || c2 || ' ' || c3, ' ')) AS INT) AS n FROM ({SORTED}) WHERE row_id = 0",
+    "block_store_roundtrip": SORTED,
+    "path_prefix_filter": "SELECT 'part-' AS prefix, count(*) AS n FROM lineitem UNION ALL SELECT 'Q-', 0",
+    "multi_path_union": f"SELECT c0, c3, 2 * count(*) AS n FROM ({SORTED}) GROUP BY c0, c3",
+    "rows_per_split": "SELECT count(*) AS n FROM lineitem",
+    "validate_cols": "SELECT 4 AS width, count(*) AS n FROM lineitem",
+    "parse_rows": f"SELECT row_id, c0 + c1 + c2 + c3 AS total FROM ({SORTED})",
+    "block_assign": f"SELECT row_id, {BLOCK_ID} AS block_id FROM ({SORTED})",
+    "block_stack": f"SELECT {BLOCK_ID} AS block_id, min(row_id) AS row_start, count(*)::INT AS m, 4 AS n, CAST(sum(c0 + c1 + c2 + c3) AS BIGINT) AS total FROM ({SORTED}) GROUP BY 1",
+    "prefix_rows": f"SELECT block_id, n, CAST(coalesce(sum(n) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT {BLOCK_ID} AS block_id, count(*) AS n FROM ({SORTED}) GROUP BY 1)",
+    "factor_lookup": f"SELECT (p_partkey // {BLOCK} + 1)::INT AS block_id, CAST(sum((p_partkey // {BLOCK} + 1) * 2 * p_size) AS BIGINT) AS total FROM part GROUP BY 1",
+    "mat_element": f"WITH s AS ({SORTED}) {LONG}",
+    "mat_column": f"SELECT row_id, c2 AS val FROM ({SORTED})",
+    "dround": "SELECT p_partkey, round(p_retailprice) AS rounded FROM part",
+    "murmur64": f"SELECT event_id AS k, {murmur_sql('event_id')} AS h FROM events",
+    "omega": f"SELECT i::INT AS i, j::INT AS j, round({omega_sql('i', 'j')}, 12) + 0.0 AS val FROM range(16) a(i), range(5) b(j)",
+    "outer_block_key": "SELECT p_partkey, (p_partkey // 300)::INT AS block, (p_partkey % 300)::INT AS place FROM part",
+    "triu_pack": f"WITH s AS ({SORTED}) {GRAM}",
+    "matrix_sum": f"WITH s AS ({SORTED}) {GRAM}",
+    "bbt_sum": f"WITH s AS ({SORTED}) {GRAM}",
+    "nonzero_filter": f"WITH s AS ({SORTED}), l AS ({LONG}) SELECT col_id, count(*) AS n FROM l WHERE val <> 0 GROUP BY col_id",
+    "local_qr": "WITH g AS (SELECT p_brand, sum(p_size::DOUBLE * p_size) AS aa, sum(p_size * p_retailprice) AS ab, sum(p_retailprice * p_retailprice) AS bb FROM part GROUP BY p_brand) SELECT p_brand, round(sqrt(aa), 4) AS r0, round(ab / sqrt(aa), 4) AS r1, 0.0::DOUBLE AS r2, round(sqrt(bb - ab * ab / aa), 4) AS r3 FROM g",
+    "bt_rows": f"WITH s AS ({SORTED}) " + " UNION ALL ".join(f"SELECT {i} AS col_id, {j} AS s, CAST(sum(c{i} * c{j}) AS BIGINT) AS val FROM s" for i in range(4) for j in range(2)),
+    "bbt": "WITH g AS (SELECT sum(p_size * p_size) AS aa, sum(p_size * (p_partkey % 10)) AS ab, sum((p_partkey % 10) * (p_partkey % 10)) AS bb FROM part) SELECT 0 AS i, 0 AS j, CAST(aa * aa + ab * ab AS BIGINT) AS val FROM g UNION ALL SELECT 0, 1, CAST(aa * ab + ab * bb AS BIGINT) FROM g UNION ALL SELECT 1, 1, CAST(ab * ab + bb * bb AS BIGINT) FROM g",
+    "a_bt_join": f"WITH s AS ({SORTED}) " + " UNION ALL ".join(f"SELECT row_id, {k} AS s, " + " + ".join(f"c{i} * {BT[i][k]}" for i in range(4)) + " AS val FROM s" for k in range(2)),
+    "a_bt": f"SELECT row_id, " + ", ".join(" + ".join(f"c{i} * {BT[i][k]}" for i in range(4)) + f" AS y{k}" for k in range(2)) + f" FROM ({SORTED})",
+    "gemm_nn": gemm_sql(f"{LINE} AS i, {TAX} AS k", f"{TAX} AS k, {DISCOUNT} AS j"),
+    "gemm_tn": gemm_sql(f"{TAX} AS i, {LINE} AS k", f"{LINE} AS k, {DISCOUNT} AS j"),
+    "gemm_nt": gemm_sql(f"{LINE} AS i, {TAX} AS k", f"{TAX} AS k, {DISCOUNT} AS j"),
+    "gemm_tt": gemm_sql(f"{LINE} AS i, {TAX} AS k", f"{TAX} AS k, {DISCOUNT} AS j"),
+    "sym_eigen_2x2": f"WITH {EIGEN} SELECT 0 AS i, round(s0 * s0, 2) AS w FROM e UNION ALL SELECT 1, round(s1 * s1, 2) FROM e",
+    "sketch_dense": sketch_sql("SELECT row_id, " + ", ".join(f"round(sum(y) FILTER (j = {k}), 8) + 0.0 AS y{k}" for k in range(3)) + " FROM y GROUP BY row_id"),
+    "sketch_sparse": sketch_sql("SELECT row_id, j::INT AS s, round(y, 8) + 0.0 AS y FROM y WHERE n > 0"),
+    "tsqr_r": "WITH g AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_extendedprice) AS ab, sum(l_extendedprice * l_extendedprice) AS bb FROM lineitem) SELECT 0 AS i, 0 AS j, round(sqrt(aa), 2) AS val FROM g UNION ALL SELECT 0, 1, round(ab / sqrt(aa), 2) FROM g UNION ALL SELECT 1, 1, round(sqrt(bb - ab * ab / aa), 2) FROM g",
+    "collect_row_matrix": "WITH g AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_extendedprice) AS ab, sum(l_extendedprice * l_extendedprice) AS bb FROM lineitem) SELECT 0 AS i, round(sqrt(aa), 2) AS r0, round(ab / sqrt(aa), 2) AS r1 FROM g UNION ALL SELECT 1, 0.0, round(sqrt(bb - ab * ab / aa), 2) FROM g",
+    "tsqr_q": PART_Q,
+    "join_q_chain": PART_Q,
+    "join_block_q": f"WITH {PART} SELECT 0 AS i, 0 AS j, round(r11, 4) AS val FROM r UNION ALL SELECT 0, 1, 0.0 FROM r UNION ALL SELECT 1, 0, round(r12, 4) FROM r UNION ALL SELECT 1, 1, round(r22, 4) FROM r",
+    "qt_a": f"WITH {PART} SELECT 0 AS i, 0 AS j, round(r11, 4) AS val FROM r UNION ALL SELECT 0, 1, round(r12, 4) FROM r UNION ALL SELECT 1, 0, 0.0 FROM r UNION ALL SELECT 1, 1, round(r22, 4) FROM r",
+    "qt_b": f"{QTB} SELECT 0 AS i, 0 AS j, round(a0 / r11, 4) AS val FROM r, c UNION ALL SELECT 0, 1, round(a1 / r11, 4) FROM r, c UNION ALL SELECT 1, 0, round((b0 - a0 / r11 * r12) / r22, 4) FROM r, c UNION ALL SELECT 1, 1, round((b1 - a1 / r11 * r12) / r22, 4) FROM r, c",
+    "qr_residual": "SELECT DISTINCT CAST(least(p_partkey // 100, greatest((SELECT count(*) FROM part) // 100 - 1, 0)) + 1 AS INT) AS block_id, 0.0::DOUBLE AS mean_abs FROM part",
+    "ssvd_sigma": f"WITH {EIGEN} SELECT 0 AS i, round(s0, 4) AS sigma FROM e UNION ALL SELECT 1, round(s1, 4) FROM e",
+    "ssvd_power_iter": f"WITH {EIGEN} SELECT 0 AS i, round(s0, 4) AS sigma FROM e UNION ALL SELECT 1, round(s1, 4) FROM e",
+    "topk_sigma": f"WITH {EIGEN} SELECT 0 AS i, round(s0, 4) AS sigma FROM e",
+    "ssvd_u": f"WITH {VECTORS} SELECT p_partkey AS row_id, round((p_size * v00 + p_retailprice * v10) / s0, 8) + 0.0 AS u0, round((p_size * v01 + p_retailprice * v11) / s1, 8) + 0.0 AS u1 FROM part, v",
+    "ssvd_u_half": f"WITH {VECTORS} SELECT p_partkey AS row_id, round((p_size * v00 + p_retailprice * v10) / sqrt(s0), 6) + 0.0 AS u0, round((p_size * v01 + p_retailprice * v11) / sqrt(s1), 6) + 0.0 AS u1 FROM part, v",
+    "ssvd_v": f"WITH {VECTORS} SELECT 0 AS col_id, round(v00, 8) + 0.0 AS v0, round(v01, 8) + 0.0 AS v1 FROM v UNION ALL SELECT 1, round(v10, 8) + 0.0, round(v11, 8) + 0.0 FROM v",
+    "ssvd_v_half": f"WITH {VECTORS} SELECT 0 AS col_id, round(v00 * sqrt(s0), 5) + 0.0 AS v0, round(v01 * sqrt(s1), 5) + 0.0 AS v1 FROM v UNION ALL SELECT 1, round(v10 * sqrt(s0), 5) + 0.0, round(v11 * sqrt(s1), 5) + 0.0 FROM v",
+    "dump_matrix": f"SELECT block_id, 'key: ' || block_id || chr(10) || 'm ' || count(*) || ', n 4' || chr(10) || string_agg(c0 || ' ' || c1 || ' ' || c2 || ' ' || c3 || ' ', chr(10) ORDER BY row_id) AS text FROM (SELECT *, {BLOCK_ID} AS block_id FROM ({SORTED})) GROUP BY block_id",
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
