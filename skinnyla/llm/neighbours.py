@@ -86,13 +86,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 12, l
     """The k nearest found for each query row: query_id, rank, vec_id, score (Euclidean distance).
 
     sample: most vectors that the trees are fitted on (those with the smallest hash of their id); every
-    vector is indexed. Leaves have about leaf vectors of the sample's share of the data, fewer levels
-    where the sample gives out. enough: how many vectors, repeats over trees counted, the leaves opened
-    for a query hold at least; left out, 12 n^0.78 of n vectors, which found 0.95 and more of the true
-    neighbours among 10,000 and 50,000 vectors that hardly cluster. A leaf with many vectors is split into cells of bounded size, so equal
-    vectors don't gather in one task. Vectors that are null, zero, hold null or non-finite components or
-    have another number of components than most of the sample take no part. Rows that repeat an id
-    count once, with the smallest distance. Ties go to the smaller id. Empty tables give empty results.
+    vector is indexed. Leaves have about leaf vectors, more where the sample gives out. enough: how many
+    vectors, repeats over trees counted, the leaves opened for a query hold at least; left out, 12 n^0.78
+    of n vectors (README: recall). A leaf with many vectors is split into cells of bounded size. Of equal
+    vectors only the k + 1 smallest ids can be neighbours of anything, so only these are held, and equal
+    queries are searched once. Vectors that are null, zero, hold null or non-finite components or have
+    another number of components than most of the sample take no part. Rows that repeat an id count once,
+    with the smallest distance. Ties go to the smaller id. Empty tables give empty results.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -106,7 +106,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 12, l
     drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     lengths = np.asarray(pc.list_value_length(drawn))
     dims = int(max(np.unique(lengths), key=lambda n: ((lengths == n).sum(), n)))
-    v = v.where(F.size("v") == dims)
+    v = v.where(F.size("v") == dims).withColumn("h", F.xxhash64("v"))
+    same = F.dense_rank().over(Window.partitionBy("h", "v").orderBy("vec_id"))
+    held = v.select("vec_id", "v", "h").withColumn("same", same).where(F.col("same") <= k + 1).select("vec_id", "v")
+    asked = v.where("q").groupBy("h", "v").agg(F.min("vec_id").alias("rep"))
     fit = matrix(drawn.filter(pa.array(lengths == dims)), dims)
     depth = max(0, min(int(np.log2(max(1, total / leaf))), int(np.log2(max(1, len(fit) / 8)))))
     forest = Forest(fit, trees, depth, seed)
@@ -118,7 +121,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 12, l
             for t, tree in enumerate(shared.value.trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaves(x).astype(np.int32)), b.column(0), b.column(1)], names=["tree", "leaf", "vec_id", "v"])
 
-    placed = v.select("vec_id", "v").mapInArrow(index, f"tree int, leaf int, vec_id long, v {kind}")
+    placed = held.mapInArrow(index, f"tree int, leaf int, vec_id long, v {kind}")
     sizes = np.zeros((trees, 1 << depth), np.int64)  # bounded by the sample, as the trees are
     for r in placed.groupBy("tree", "leaf").count().collect():
         sizes[r.tree, r.leaf] = r["count"]
@@ -144,7 +147,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 12, l
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(at), pa.array(c), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(np.ones(len(i), bool))], names=["tree", "leaf", "cell", "vec_id", "v", "q"])
 
     columns = f"tree int, leaf int, cell int, vec_id long, v {kind}, q boolean"
-    both = v.select("vec_id", "v").mapInArrow(index_cells, columns).unionByName(v.where("q").select("vec_id", "v").mapInArrow(probe, columns))
+    both = held.mapInArrow(index_cells, columns).unionByName(asked.select(F.col("rep").alias("vec_id"), "v").mapInArrow(probe, columns))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, every = pdf["q"].to_numpy(), pdf["vec_id"].to_numpy()
@@ -155,25 +158,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 12, l
             for query, q in zip(every[asked], pdf["v"].to_numpy()[asked], strict=True):
                 diff = x - q.astype(np.float64)
                 score = np.sqrt((diff * diff).sum(axis=1))
-                score[ids == query] = np.inf
-                if len(score) > 4 * k:  # all that can be among the first k ids, ties included
+                some = np.arange(len(score))
+                if len(score) > 4 * k:  # all that can be among the first k + 1 ids, ties included
                     some = np.flatnonzero(score <= np.partition(score, 2 * k)[2 * k])
                     some = some if len(np.unique(ids[some])) > k else np.arange(len(score))
-                else:
-                    some = np.arange(len(score))
                 order = some[np.lexsort((ids[some], score[some]))]
-                order = order[score[order] < np.inf]
                 _, first = np.unique(ids[order], return_index=True)
-                order = order[np.sort(first)][:k]
+                order = order[np.sort(first)][: k + 1]
                 queries.append(np.full(len(order), query))
                 near.append(ids[order])
                 scores.append(score[order])
         return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": np.concatenate(near), "score": np.concatenate(scores)})
 
     found = both.groupBy("tree", "leaf", "cell").applyInPandas(nearest, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = found.groupBy(F.col("query_id").alias("rep"), "vec_id").agg(F.min("score").alias("score"))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1)
+    every = v.where("q").select(F.col("vec_id").alias("query_id"), "h", "v").join(asked, ["h", "v"]).select("query_id", "rep").distinct()
+    own = every.join(best.select("rep", "vec_id", "score"), "rep").where("query_id <> vec_id")
+    own = own.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir):
