@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skinnyla.llm import mixing, near_duplicates, packing, personal_data, toxicity
-from skinnyla.llm.common import shared_dir, table, tokenizer_path
+from skinnyla.llm.common import shared_dir, small_batches, table, tokenizer_path
 
 
 def without_toxic(spark, docs, sf_dir):
@@ -20,11 +20,13 @@ def without_toxic(spark, docs, sf_dir):
 
 def without_near_duplicates(spark, docs, sf_dir):
     """Operator 2: of each class of near duplicates the document with the smallest id stays."""
+    small_batches(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def without_personal_data(spark, docs, sf_dir):
     """Operator 7: personal data in the texts is replaced by its kind; n_chars is the new length."""
+    small_batches(spark)
     names = docs.columns
     out = personal_data.redact(docs)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*names) if "n_chars" in names else out
@@ -32,6 +34,7 @@ def without_personal_data(spark, docs, sf_dir):
 
 def mixed_sources(spark, docs, sf_dir):
     """Operator 8: documents as often, and as much of them, as the mix draws them."""
+    small_batches(spark)
     names = docs.columns
     out = mixing.mixed(docs)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*names) if "n_chars" in names else out
@@ -39,6 +42,7 @@ def mixed_sources(spark, docs, sf_dir):
 
 def packed(spark, docs, sf_dir):
     """Operator 5: pieces of the documents in token sequences; each draw of a document is packed."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).drop("copy")
 
 

@@ -119,8 +119,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
     frequency = document_frequencies(docs, text_col, tokens)
 
     def run(rows):
-        scanner = per_worker(("licenses", tuple(templates), tuple(phrases), tuple(frequency.items()), threshold), lambda: Scanner(templates, phrases, frequency, threshold))
-        for b in batches(rows):
+        scanner = per_worker("licenses", (tuple(templates), tuple(phrases), tuple(frequency.items()), threshold), lambda: Scanner(templates, phrases, frequency, threshold))
+        for b in batches(rows, 2 << 20):
             raw, offsets = utf8_buffer(b.column(1))
             low = UPPER[raw]
             word = WORD[low]

@@ -39,10 +39,10 @@ class Encoder:
     of the word cache.
     """
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 250_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None  # the library's own way is only loaded for odd texts
         self.parts = Tokenizer.from_file(path)  # for one part at a time, already lower-cased
         self.parts.normalizer = None
         self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -54,6 +54,10 @@ class Encoder:
         self.cache_entries = cache_entries
 
     def whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
@@ -136,7 +140,7 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, te
     end = pack_ids([end_id])
 
     def run(rows):
-        encode = per_worker(("encoder", path), lambda: Encoder(path))
+        encode = per_worker("encoder", path, lambda: Encoder(path))
         for b in batches(rows):
             out = []
             for doc, copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):

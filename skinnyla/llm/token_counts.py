@@ -37,7 +37,7 @@ class Counter:
     start of a space; texts with longer runs of white space are split as one.
     """
 
-    def __init__(self, path: str, cache_entries: int = 700_000):
+    def __init__(self, path: str, cache_entries: int = 250_000):
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         self.bytes = [vocab[x] for x in byte_symbols()]
@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """
 
     def run(rows):
-        count = per_worker(("token counter", path), lambda: Counter(path))
+        count = per_worker("token counter", path, lambda: Counter(path))
         for b in batches(rows):
             n = [count(x) for x in texts_of(b.column(1))]
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())

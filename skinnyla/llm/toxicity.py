@@ -27,7 +27,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 DROPPED = ".-_*~'"
 #: Characters of the model: 0 the edge of a word, 1 to 26 letters, 27 any other letter (a byte from 0x80).
 SIZE = 28
-CLASS = np.zeros(256, np.int64)
+CLASS = np.zeros(256, np.int32)
 CLASS[0x61:0x7B] = CLASS[0x41:0x5B] = np.arange(1, 27)
 CLASS[0x80:] = 27
 
@@ -42,9 +42,9 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def run(rows):
         total = np.zeros(SIZE**3, np.int64)
-        for b in batches(rows):
+        for b in batches(rows, 1 << 20):
             raw, offsets = utf8_buffer(b.column(0))
-            c = CLASS[raw].astype(np.int32)
+            c = CLASS[raw]
             c = np.insert(c, offsets[:-1], 0) if len(c) else c
             if len(c) > 2:
                 total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
@@ -145,7 +145,7 @@ def features(word: str) -> list[str]:
 
 
 class Scorer:
-    def __init__(self, costs: np.ndarray, lexicon: dict[str, float], curve: tuple[float, float], cache_entries: int = 700_000):
+    def __init__(self, costs: np.ndarray, lexicon: dict[str, float], curve: tuple[float, float], cache_entries: int = 250_000):
         restore = self.restore = Restorer(costs)
         self.curve = curve
 
@@ -222,17 +222,22 @@ def learn_lexicon(train: DataFrame, costs: np.ndarray, least: int = 3) -> Lexico
     Counts of texts are summed in each task before the shuffle.
     """
 
+    def counted(n):
+        every = list(n[0].keys() | n[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][f] for f in every], pa.int64()), pa.array([n[0][f] for f in every], pa.int64())], names=["feature", "bad", "good"])
+
     def run(rows):
-        restorer = Restorer(costs)
-        n = {0: Counter(), 1: Counter()}
-        for b in batches(rows):
+        restorer, n = Restorer(costs), {0: Counter(), 1: Counter()}
+        for b in batches(rows, 1 << 20):
             for text, toxic in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                 low = text.lower()
                 words = {restorer.word(w) for w in set(low.split())} | set(restorer.spaced(low))
                 n[toxic].update({f for w in words for f in features(w)})
                 n[toxic]["\0all"] += 1
-        every = list(n[0].keys() | n[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][f] for f in every], pa.int64()), pa.array([n[0][f] for f in every], pa.int64())], names=["feature", "bad", "good"])
+            if len(n[0]) + len(n[1]) > 200_000:  # sums go on in Spark; a task holds no more than this
+                yield counted(n)
+                n = {0: Counter(), 1: Counter()}
+        yield counted(n)
 
     counts = train.mapInArrow(run, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = {r.feature: (r.bad, r.good) for r in counts.where((F.col("feature") == "\0all") | (F.col("bad") >= least) & (F.col("bad") * 2 > F.col("good"))).collect()}
@@ -270,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "d
     lexicon = learn_lexicon(train, costs)
 
     def run(rows):
-        scorers = [Scorer(costs, lexicon.without(toxic), (0.0, 0.0)) for toxic in (0, 1)]
+        scorers = [Scorer(costs, lexicon.without(toxic), (0.0, 0.0), 50_000) for toxic in (0, 1)]
         for b in batches(rows):
             x = [scorers[toxic].evidence(text) for text, toxic in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], names=["x", "toxic"])
@@ -292,7 +297,7 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> Da
     at = len(keep)
 
     def run(rows):
-        scorer = per_worker(("scorer", curve, len(lexicon)), lambda: Scorer(costs, lexicon, curve))
+        scorer = per_worker("scorer", (curve, lexicon), lambda: Scorer(costs, lexicon, curve))
         for b in batches(rows):
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([scorer(t) for t in texts_of(b.column(at))], pa.float64())], names=schema.names)
 
