@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skinnyla.llm.common import batches, cut, table, utf8_buffer
+from skinnyla.llm.common import batches, cut, release, table, utf8_buffer
 from skinnyla.llm.components import connected_components
 
 WORDS = 5
@@ -26,7 +26,7 @@ TREES, DEEPEST = 16, 4
 #: Functions whose low bytes make the sketch, and how many must agree: 0.8 less five standard deviations.
 SKETCH, ALIKE = TREES * DEEPEST, 35
 #: Most rows of a bucket, and of a block of a family, that one task compares.
-BUCKET, BLOCK = 2048, (256, 2048)
+BUCKET, BLOCK = 2048, (256, 1024)
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -158,6 +158,8 @@ def runs(rows, columns: int):
         tail = t.slice(int(at[-1]))
     if tail is not None:
         yield tail, np.array([0]), np.array([tail.num_rows])
+    del tail
+    release()
 
 
 def components_of(links: np.ndarray) -> np.ndarray:
@@ -238,8 +240,9 @@ def compare(t: pa.Table, threshold: Fraction):
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
     both = np.zeros((g, g), np.float32)
-    step = max(256, 8_000_000 // g)
-    for k in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+    width = int(at[-1]) + 1 if len(at) else 0
+    step = min(max(256, 8_000_000 // g), max(1, width))
+    for k in range(0, width, step):
         lo, hi = np.searchsorted(at, [k, k + step])
         x = np.zeros((g, step), np.float32)
         x[row[lo:hi], at[lo:hi] - k] = 1
