@@ -1,15 +1,20 @@
 """Personal data: fixed base patterns, and identifiers found by bootstrapped contexts.
 
-Seeds (base matches and values in known secret formats) induce patterns: the key that is assigned to
-(`password=`), the format with its prefix, and the format alone. Spark scores the graph of patterns and
-instances in turns: a pattern by the mean confidence of its distinct instances, an instance by its best
-pattern. Patterns that end above the threshold mark the instances that were no seeds.
+Seeds (base matches and values in known secret formats) induce contexts: one or two words before, or the
+words on both sides, with the punctuation between. Every token in a context that seeds have induced is
+an instance, whatever its characters and length. Identifier-like tokens are instances anywhere, with
+further patterns: the key that is assigned to (`password=`), the format with its prefix, and the format
+alone. Spark scores the graph of patterns and instances in turns: a pattern by the mean confidence of its
+distinct instances, an instance by its best pattern. Patterns that end above the threshold mark the
+instances that were no seeds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Container, Set
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,11 +35,22 @@ LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 KEY = re.compile(r"([A-Za-z][A-Za-z_-]{1,30})\s{0,2}[=:]\s{0,2}[\"']?$")
 SEED_KEYS = frozenset(("password", "passwd", "secret", "token", "api_key", "apikey", "access_key"))
 SEED_FORMAT = re.compile(r"AKIA[A-Z0-9]{16}$")
-LEAST = 8  # characters of an identifier
+LEAST = 8  # characters of an identifier that no context marks
+
+#: A piece of text and the gap behind it; a value in a context; a number with blanks or brackets.
+PIECE = re.compile(r"""([^\s=:"'`(\[{<,;|]+)([\s=:"'`(\[{<,;|]*)""")
+VALUE = re.compile(r"""[^\s"'`<>()\[\]{},;|]+""")
+NUMBER = re.compile(r"\(?\+?\(?[0-9]+(?:[\x20().-]{1,2}[0-9]+)+")
+BEFORE, BEHIND = re.compile(r"[^\w+]+"), re.compile(r"[\W_]+$")
+QUOTED = {q: re.compile(f"[^{q}\n]+(?={q})") for q in "'\"`"}
+ASSIGNED = re.compile(r"""\s*[=:]\s*["'`]?""")
+#: Least share of seeds in a context's distinct instances. Under it other patterns would have to vouch for nearly all.
+SEED_SHARE = 0.2
 
 SPAN = "struct<kind: string, start: int, end: int>"
 FOUND = "struct<start: int, end: int, instance: long, seed: boolean, patterns: array<string>>"
-SCHEMA = f"doc_id long, text_key long, base array<{SPAN}>, base_sha256 string, found array<{FOUND}>"
+SCHEMA = f"doc_id long, text_key long, base array<{SPAN}>, base_sha256 string, found array<{FOUND}>, induced array<{FOUND}>"
+FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
 
 def luhn(digits: str) -> bool:
@@ -95,7 +111,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
         done = end
         while k < len(spans) and spans[k][1] <= start:
             k += 1
-        if end - start < LEAST or end - start > 200 or k < len(spans) and spans[k][0] < end:
+        if end - start < LEAST or k < len(spans) and spans[k][0] < end:
             continue
         token = text[start:end]
         if token.isdigit():
@@ -108,26 +124,168 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
         yield start, end, token, seed, patterns
 
 
+def instance_of(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def norm(gap: str) -> str:
+    """The gap with each run of blanks as one."""
+    return " ".join(f".{gap}.".split())[1:-1]
+
+
+def in_contexts(text: str, seeds: dict[int, int] | None = None, learned: Set[str] | None = None, words: Container[str] | None = None):
+    """Tokens and their contexts: (start, end, seed, patterns).
+
+    seeds: ends of the text's base matches and secrets by their starts. With learned, tokens in one of these
+    contexts (words: the words that stand before a token in any), else seeds only, in all their contexts.
+    """
+    pieces = PIECE.findall(text)
+    low = [p.lower() for p, _ in pieces]
+    at = [i for i in range(1, len(low)) if low[i - 1] in words] if learned is not None else range(1, len(low))
+    if not at:
+        return
+    if seeds is None:
+        seeds = seeds_of(text)
+    starts, here = [], PIECE.search(text).start()
+    for p, gap in pieces:
+        starts.append(here)
+        here += len(p) + len(gap)
+    taken, k, done = sorted(seeds.items()), 0, 0
+    for i in at:
+        start, gap = starts[i], pieces[i - 1][1]
+        stop = start + len(pieces[i][0])
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        seed = k < len(taken) and taken[k][0] < stop
+        if seed:
+            if taken[k][0] < start:  # within a seed
+                continue
+            gap += text[start : taken[k][0]]
+            start, end = taken[k]
+        elif learned is None or start < done:
+            continue
+        else:
+            if gap.endswith("(") and text[start].isdigit():  # a number's own bracket
+                start, gap = start - 1, gap[:-1]
+            elif m := BEFORE.match(text, start, stop):
+                gap, start = gap + m[0], m.end()
+            if m := gap[-1:] in QUOTED and QUOTED[gap[-1]].match(text, start):
+                end = m.end()
+            else:
+                end = m.end() if (m := VALUE.match(text, start)) else start
+                end = m.start() if (m := BEHIND.search(text, start, end)) else end
+                end = max(end, m.end()) if (m := NUMBER.match(text, start)) else end
+            if end <= start or k < len(taken) and taken[k][0] < end:
+                continue
+        gap = "=" if ASSIGNED.fullmatch(gap) else norm(gap)
+        one = f"{low[i - 1]}\t{gap}"
+        patterns = [f"one:{one}", f"two:{low[i - 2] if i > 1 else ''}\t{norm(pieces[i - 2][1]) if i > 1 else ''}\t{one}"]
+        if m := PIECE.search(text, end):
+            patterns.append(f"both:{one}\t{norm(text[end : m.start()])}\t{m[1].lower()}")
+        if learned is not None:
+            patterns = [p for p in patterns if p in learned]
+        if patterns:
+            done = end
+            yield start, end, seed, patterns
+
+
+def word_of(pattern: str) -> str:
+    """The word that stands before a token in the context."""
+    kind, _, rest = pattern.partition(":")
+    return rest.split("\t")[2 if kind == "two" else 0]
+
+
+def seeds_of(text: str) -> dict[int, int]:
+    """Ends of base matches and of values in known secret formats by their starts, the longest at each."""
+    spans = base_spans(text)
+    return ends([(s, e) for _, s, e in spans] + [(s, e) for s, e, _, seed, _ in candidates(text, spans) if seed])
+
+
+def ends(spans) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for s, e in spans:
+        out[s] = max(e, out.get(s, 0))
+    return out
+
+
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and candidates of each row; text_key stands for the row in later joins."""
+    """Base spans, candidates and the seeds' contexts of each row; text_key stands for the row in later joins."""
 
     def run(rows):
         for b in batches(rows):
-            base, sha, found = [], [], []
+            base, sha, found, induced = [], [], [], []
             for text in b.column(2).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 sha.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest())
-                found.append([{"start": s, "end": e, "instance": int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True), "seed": seed, "patterns": p} for s, e, t, seed, p in candidates(text, spans)])
+                found.append([{"start": s, "end": e, "instance": instance_of(t), "seed": seed, "patterns": p} for s, e, t, seed, p in candidates(text, spans)])
+                seeds = ends([(s, e) for _, s, e in spans] + [(f["start"], f["end"]) for f in found[-1] if f["seed"]])
+                induced.append([{"start": s, "end": e, "instance": instance_of(text[s:e]), "seed": True, "patterns": p} for s, e, _, p in in_contexts(text, seeds)] if seeds else [])
             span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-            kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span)), pa.array(sha), pa.array(found, pa.list_(kind))], names=["doc_id", "text_key", "base", "base_sha256", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span)), pa.array(sha), pa.array(found, FOUND_TYPE), pa.array(induced, FOUND_TYPE)], names=["doc_id", "text_key", "base", "base_sha256", "found", "induced"])
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("text_key"), text.alias("text")).mapInArrow(run, SCHEMA)
 
 
+def tokens_in(docs: DataFrame, learned: frozenset[str], id_col: str, text_col: str) -> DataFrame:
+    """(text_key, start, end, instance, seed, patterns) of the tokens in learned contexts."""
+
+    def run(rows):
+        words = frozenset(map(word_of, learned))
+        for b in batches(rows):
+            key, out = [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s, e, seed, p in in_contexts(text or "", None, learned, words):
+                    key.append(k)
+                    out.append((s, e, instance_of(text[s:e]), seed, p))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]], names=["text_key", "start", "end", "instance", "seed", "patterns"])
+
+    return docs.select(row_key(id_col, text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "text_key long, start int, end int, instance long, seed boolean, patterns array<string>")
+
+
+def learned_contexts(docs: DataFrame, extracted: DataFrame, least_seeds: int, id_col: str, text_col: str) -> frozenset[str]:
+    """The contexts of at least least_seeds distinct seeds that hold a fair share of seeds.
+
+    A task stops to look for a context once it has seen more distinct instances than the share allows, as
+    all texts hold no fewer. So a context as common as `the` costs a task no more than these.
+    """
+    induced = extracted.where(F.size("induced") > 0).select(F.explode("induced").alias("i")).select("i.instance", F.explode("i.patterns").alias("pattern"))
+    seeds = {r.pattern: r.n for r in induced.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= least_seeds).collect()}
+    if not seeds:
+        return frozenset()
+
+    def run(rows):
+        seen: dict[str, set[int]] = {p: set() for p in seeds}
+        left = set(seeds)
+        words = Counter(map(word_of, left))
+        for b in batches(rows):
+            for text in b.column(0).to_pylist():
+                for s, e, _, patterns in in_contexts(text or "", None, left, words):
+                    i = instance_of(text[s:e])
+                    for p in patterns:
+                        if p not in left:
+                            continue
+                        seen[p].add(i)
+                        if len(seen[p]) * SEED_SHARE > seeds[p]:
+                            left.discard(p)
+                            seen[p].clear()
+                            if words[w := word_of(p)] > 1:
+                                words[w] -= 1
+                            else:
+                                del words[w]
+        out = [(p, i) for p, own in seen.items() for i in (own if p in left else (None,))]
+        for k in range(0, len(out), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 100_000], strict=True), (pa.string(), pa.int64()), strict=True)], names=["pattern", "instance"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern string, instance long")
+    count = rows.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.bool_or(F.col("instance").isNull()).alias("over"))
+    return frozenset(r.pattern for r in count.where("not over").collect() if seeds[r.pattern] >= SEED_SHARE * r.n)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
@@ -148,14 +306,18 @@ def score_patterns(found: DataFrame, rounds: int, least_seeds: int) -> DataFrame
     return patterns.where(F.col("seeds") >= least_seeds).select("pattern", "p")
 
 
-def discover(extracted: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds: int = 3) -> DataFrame:
-    """(text_key, added): the identifiers' spans of each text that has any."""
+def discover(docs: DataFrame, extracted: DataFrame, threshold: float, rounds: int, least_seeds: int, id_col: str, text_col: str) -> DataFrame:
+    """(text_key, added): the identifiers' spans of each text that has any, without those within another."""
     found = extracted.where(F.size("found") > 0).select("text_key", F.explode("found").alias("f")).select("text_key", "f.*")
-    patterns = score_patterns(found, rounds, least_seeds).where(F.col("p") >= threshold)
+    learned = learned_contexts(docs, extracted, least_seeds, id_col, text_col)
+    every = found.unionByName(cut(tokens_in(docs, learned, id_col, text_col))) if learned else found
+    patterns = score_patterns(every, rounds, least_seeds).where(F.col("p") >= threshold)
     seeds = found.where("seed").select("text_key", "start", "end")
-    others = found.where("not seed").select("text_key", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").select("text_key", "start", "end")
+    others = every.where("not seed").select("text_key", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").select("text_key", "start", "end")
     span = F.struct(F.lit("identifier").alias("kind"), "start", "end")
-    return seeds.unionByName(others).groupBy("text_key").agg(F.collect_set(span).alias("added"))
+    added = seeds.unionByName(others).groupBy("text_key").agg(F.collect_set(span).alias("added"))
+    within = "filter(added, x -> not exists(added, y -> y.start <= x.start and y.end >= x.end and y.end - y.start > x.end - x.start))"
+    return added.select("text_key", F.expr(within).alias("added"))
 
 
 def find(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,12 +330,12 @@ def find(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds:
     extracted = cut(extract(docs, id_col, text_col))
     spans = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return extracted.drop("found").join(discover(extracted, threshold, rounds, least_seeds), "text_key", "left").select("doc_id", "base", "base_sha256", F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    return extracted.drop("found", "induced").join(discover(docs, extracted, threshold, rounds, least_seeds, id_col, text_col), "text_key", "left").select("doc_id", "base", "base_sha256", F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of its text replaced by its kind in brackets; null texts stay null."""
-    added = discover(cut(extract(docs, id_col, text_col)), threshold, rounds, least_seeds)
+    added = discover(docs, cut(extract(docs, id_col, text_col)), threshold, rounds, least_seeds, id_col, text_col)
     at, schema = docs.columns.index(text_col), docs.schema
     joined = docs.withColumn("text_key", row_key(id_col, text_col)).join(added, "text_key", "left").drop("text_key")
 

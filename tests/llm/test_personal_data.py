@@ -65,3 +65,21 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
     one = pd_.redact(spark.createDataFrame([(1, "mail a@b.co now")], "doc_id long, text string")).first()
     assert one.text == "mail [EMAIL] now"
+
+
+def test_contexts_of_base_matches_mark_tokens_of_any_form(spark):
+    long = "kx-" * 100 + "q7"
+    rows = [(i, f"please contact: user{i}@mail{i}.org now") for i in range(6)]
+    rows += [(10 + i, f"the node listens at 10.0.{i}.7 today") for i in range(6)]
+    rows += [(20 + i, f"login password=ab12cd34ef56ab{i:04d} end") for i in range(8)]
+    more = {100: ("x contact: ", "bob", "."), 101: ("it listens at ", "12-34.b", " and"), 102: ("my password=", "hunter", " end"), 103: ("my password=", "4711", ""), 104: ("a password=", long, ""), 105: ("this contact: ", "555 1234", " ok"), 106: ('a password = "', "two words", '" end')}
+    rows += [(k, "".join(v)) for k, v in more.items()] + [(200, "plain words and 4711 by noon, listens to 12-34")]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in pd_.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (before, value, _) in more.items():
+        assert got[k] == [("identifier", len(before), len(before) + len(value))], (k, got[k])
+    assert got[200] == [] and all([x[0] for x in got[i]] == ["email"] for i in range(6)) and all([x[0] for x in got[10 + i]] == ["ip"] for i in range(6))
+
+
+def test_common_contexts_are_not_learned(spark):
+    rows = [(i, f"the 10.0.0.{i} of") for i in range(6)] + [(100 + i, f"the w{i}x of") for i in range(60)]
+    assert all(r.spans == [] for r in pd_.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect())
