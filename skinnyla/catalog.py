@@ -144,8 +144,9 @@ def q_collect_row_matrix(spark, d):
 
 def q_factor_lookup(spark, d):
     m = part2(spark, d)
-    factors = spark.range(1, 1000).select(F.col("id").cast("int").alias("block_id"), (F.col("id") * 2).alias("factor"))
-    rows = m.rows.withColumn("block_id", (F.floor(F.col("row_id") / BLOCK) + 1).cast("int")).join(factors, "block_id")
+    rows = m.rows.withColumn("block_id", (F.floor(F.col("row_id") / BLOCK) + 1).cast("int"))
+    factors = rows.select("block_id").distinct().withColumn("factor", F.col("block_id").cast("bigint") * 2)
+    rows = rows.join(factors, "block_id")
     return rows.groupBy("block_id").agg(F.sum(F.col("factor") * F.col("v")[0].cast("bigint")).alias("total"))
 
 
