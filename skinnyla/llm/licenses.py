@@ -1,4 +1,6 @@
-"""License scans: an exact containment join of text blocks (lines) with license templates.
+"""License scans: an exact containment join of text blocks with license templates.
+
+Blocks are lines, and windows of consecutive words that go over line ends, so that wrapped notices are found.
 
 A template's tokens are ordered by how many documents hold them, rarest first. A block can only hold
 enough of a template if it holds one of the template's first few tokens (prefix filter), has enough
@@ -9,6 +11,7 @@ blocks that pass are compared exactly. Base phrases are found beside that in who
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from math import ceil
 
@@ -38,6 +41,8 @@ WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[0x41:0x5B] += 32
+#: Words of a window for each word of the template.
+WIDTH = 1.5
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -55,11 +60,12 @@ class Scanner:
     def __init__(self, templates, phrases: Mapping[str, str], frequency: Mapping[str, int], threshold: float):
         rank = {t: i for i, t in enumerate(sorted(frequency, key=lambda t: (frequency[t], t)))}
         self.rank = {t.encode(): r for t, r in rank.items()}
-        self.templates, self.starts = [], {}
+        self.templates, self.widths, self.starts = [], [], {}
         for k, (label, text) in enumerate(templates):
             own = sorted({rank[t] for t in text.split()})
             need = ceil(threshold * len(own) - 1e-9)
             self.templates.append((label, own, need))
+            self.widths.append(ceil(WIDTH * len(text.split())))
             for i, r in enumerate(own[: len(own) - need + 1]):
                 self.starts.setdefault(r, []).append((k, i))
         rare = sorted((t.encode() for t in frequency if rank[t] in self.starts), key=len, reverse=True)
@@ -106,12 +112,46 @@ class Scanner:
                         found.append((start, label, both / len(own)))
         return found
 
+    def windows(self, low: bytes) -> list[tuple[int, str, float]]:
+        """The best of each run of overlapping windows over line ends that hold enough of a template."""
+        if b"\n" not in low or not self.maybe.search(low):
+            return []
+        known = [(i, r, m.start()) for i, m in enumerate(WORDS.finditer(low)) if (r := self.rank.get(m[0])) is not None]
+        have, found = {r for _, r, _ in known}, []
+        for (label, own, need), width in zip(self.templates, self.widths, strict=True):
+            every = set(own)
+            if len(every & have) < need:
+                continue
+            mine = [x for x in known if x[1] in every]
+            n: Counter[int] = Counter()
+            left, best, upto = 0, None, -1
+            for i, r, at in mine:
+                n[r] += 1
+                while i - mine[left][0] >= width or n[mine[left][1]] > 1:  # a later one stands for a repeated word
+                    n[mine[left][1]] -= 1
+                    if not n[mine[left][1]]:
+                        del n[mine[left][1]]
+                    left += 1
+                start = mine[left][2]
+                if len(n) < need or low.find(b"\n", start, at) < 0:
+                    continue
+                if best is not None and start > upto:
+                    found.append(best)
+                    best = None
+                if best is None or len(n) / len(own) > best[2]:
+                    best = (start, label, len(n) / len(own))
+                upto = at
+            if best is not None:
+                found.append(best)
+        return found
+
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: words, places of base phrases, labels, and the blocks that were found.
 
-    blocks lists each line that holds at least the threshold of a template's distinct words, with the
-    line's number. Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A null
+    blocks lists each line, and each place where a window of half as many words again as the template has
+    goes over line ends, that holds at least the threshold of a template's distinct words, with the number of
+    the (first) line. Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A null
     or empty text has no words and score 0; null ids and repeated rows pass through one by one; other
     columns are not read. score is the largest containment found, 1 where a base phrase stands.
     """
@@ -134,7 +174,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 text = whole[s:e]
                 at, base = scanner.base(text)
-                found = scanner.blocks(text)
+                found = scanner.blocks(text) + scanner.windows(text)
                 out.append((len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[1] for x in found})), 1.0 if at else max((x[2] for x in found), default=0.0), [{"line": text.count(b"\n", 0, p), "label": x, "containment": c} for p, x, c in found]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
