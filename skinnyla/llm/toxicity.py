@@ -31,9 +31,12 @@ CLASS = np.zeros(256, np.int32)
 CLASS[0x61:0x7B] = CLASS[0x41:0x5B] = np.arange(1, 27)
 CLASS[0x80:] = 27
 
-EDGE = re.compile(r"^[^\w@$€£|+(]+|[^\w@$|€]+$")
-NOISY = re.compile(r"(?<![\W\d_])[0-9@$!|+(€£.\-_*~'](?=[^\W\d_])|^[@$0-9€£|+(]+(?=[^\W\d_])|([^\W\d_])\1\1|(?<=[^\W\d_])[0-9@$!|€](?=[0-9@$!|€]*[^\W\d_])")
-SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|])(?=[\s.\-_*,;:!?]|$)){3,}")
+EDGE = re.compile(r"^[^\w@$€£|+(!]+|[^\w@$|€+]+$")
+NOISY = re.compile(r"[0-9@$!|+(€£.\-_*~']|([^\W\d_])\1\1")
+SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!|])(?=[\s.\-_*,;:!?]|$)){3,}")
+GAP = re.compile(r"[\s.\-_*]+")
+#: Letters of a lexicon word that is found inside a run; letters from which a word is searched like a run.
+INSIDE, LONG = 4, 40
 BEGINNINGS = (4, 5, 6)
 
 
@@ -106,8 +109,8 @@ class Decoder:
 
     def __call__(self, word: str) -> str:
         edges, costs = self.edges(word), self.costs
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
-        best[0][0, 0] = (0.0, "")
+        best: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(word) + 1)]
+        best[0][0, 0] = (0.0, ())
         for i, own in enumerate(edges):
             for (a, b), (cost, done) in best[i].items():
                 for to, chars, channel in own:
@@ -117,26 +120,37 @@ class Decoder:
                         total += costs[x][y][k]
                         x, y = y, k
                     if total < best[to].get((x, y), (1e18,))[0]:
-                        best[to][x, y] = (total, done + chars)
-        ends = [(cost + costs[a][b][0], done) for (a, b), (cost, done) in best[-1].items()]
-        return min(ends)[1] if ends else word
+                        best[to][x, y] = (total, (done, chars) if chars else done)
+            best[i] = {}
+        ends = [(cost + costs[a][b][0], k, done) for k, ((a, b), (cost, done)) in enumerate(best[-1].items())]
+        if not ends:
+            return word
+        path, out = min(ends)[2], []
+        while path:  # a chain of what was read, the last first
+            path, chars = path
+            out.append(chars)
+        return "".join(reversed(out))
 
 
 class Restorer:
-    """Words of a text as they were meant; long non-words are left alone, their lattices say nothing."""
+    """Words of a text as they were meant."""
 
-    def __init__(self, costs: np.ndarray, longest: int = 40):
-        self.decode, self.longest = Decoder(costs), longest
+    def __init__(self, costs: np.ndarray):
+        self.decode = Decoder(costs)
 
     def word(self, chunk: str) -> str:
         w = EDGE.sub("", chunk)
-        if len(w) <= self.longest and NOISY.search(w) and sum(c.isalpha() for c in w) * 3 >= len(w):
-            return self.decode(w)
-        return w
+        return self.decode(w) if NOISY.search(w) else w
 
     def spaced(self, low: str) -> list[str]:
-        """Runs of single characters read as one word, as far as the text has any."""
-        return [self.decode(w) for m in SPACED.finditer(low) for w in [re.sub(r"[\s.\-_*]", "", m[0])] if len(w) <= self.longest]
+        """Runs of single characters, as far as the text has any, read as one word and, parted at wider gaps, as words."""
+        out = []
+        for m in SPACED.finditer(low):
+            out.append(self.decode(GAP.sub("", m[0])))
+            least = min(map(len, GAP.findall(m[0])))
+            words = re.split(rf"[\s.\-_*]{{{least + 1},}}", m[0])
+            out += [self.decode(GAP.sub("", w)) for w in words] if len(words) > 1 else []
+        return out
 
 
 def features(word: str) -> list[str]:
@@ -153,7 +167,9 @@ class Scorer:
             def __missing__(self, chunk: str) -> float:
                 if len(self) >= cache_entries:
                     self.clear()
-                e = evidence_of(restore.word(chunk), lexicon)
+                e = evidence_of(w := restore.word(chunk), lexicon)
+                if len(w) > LONG:
+                    e = max(e, inside(w, lexicon)[0])
                 if len(chunk) <= 64:
                     self[chunk] = e
                 return e
@@ -164,7 +180,8 @@ class Scorer:
         """The strongest evidence of a word, and a third of that of the next three distinct words."""
         low = text.lower()
         found = [e for e in map(self.words.__getitem__, set(low.split())) if e > 0]
-        found += [e for w in self.restore.spaced(low) if (e := evidence_of(w, self.lexicon)) > 0]
+        runs = {f: e for w in self.restore.spaced(low) for e, f in [max((evidence_of(w, self.lexicon), w), inside(w, self.lexicon))] if e > 0}
+        found += runs.values()
         found.sort(reverse=True)
         return found[0] + sum(found[1:4]) / 3 if found else 0.0
 
@@ -177,6 +194,22 @@ def evidence_of(word: str, lexicon: dict[str, float]) -> float:
     return max((lexicon.get(f, 0.0) for f in features(word)), default=0.0)
 
 
+def inside(word: str, lexicon) -> tuple[float, str]:
+    """The strongest evidence of a whole lexicon word anywhere in a run of letters, and that word."""
+    most = longest_of(lexicon)
+    return max(((lexicon.get(f, 0.0), f) for i in range(len(word)) for j in range(i + INSIDE, min(i + most, len(word)) + 1) for f in [word[i:j]]), default=(0.0, ""))
+
+
+def longest_of(lexicon, _kept: list = []) -> int:  # noqa: B006
+    """Letters of the longest lexicon word."""
+    for known, n in _kept:
+        if known is lexicon:
+            return n
+    own = lexicon.lexicon.counts if isinstance(lexicon, Without) else lexicon
+    _kept[:] = [*_kept[-3:], (lexicon, max((len(f) for f in own if f[-1:] != "^"), default=0))]
+    return _kept[-1][1]
+
+
 def distinct_texts(train: DataFrame, trees: int = 8) -> DataFrame:
     """(text, toxic) of the rows (id, text, toxic) that share no bucket of near copies with a smaller id.
 

@@ -62,3 +62,19 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.judge(odd, labels.limit(0)).where("score = 0.5").count() == 9
     kept = toxicity.clean(odd, spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int"))
     assert kept.columns == odd.columns and kept.count() == 9
+
+
+def test_heavy_disguises_are_restored(costs):
+    r = toxicity.Restorer(costs)
+    for noisy, word in (("1d107", "idiot"), ("!d10t", "idiot"), ("i--d--i--o--t", "idiot"), ("s...c...u...m", "scum"), ("57up1d", "stupid"), ("m-0-r-0-n", "moron"), ("lo5er" + "r" * 60, "loser")):
+        assert r.word(noisy) == word, (noisy, r.word(noisy))
+    assert r.spaced("y o u  i d i o t") == ["youidiot", "you", "idiot"]
+    assert r.spaced("i - d - i - o - t") == ["idiot"]
+
+
+def test_lexicon_words_inside_long_runs_count(costs):
+    s = toxicity.Scorer(costs, {"idiot": 5.0, "clow^": 2.0}, (1.0, -1.0))
+    assert s.evidence("y o u a r e a n i d i o t") == 5.0 == s.evidence("y o u  i d i o t")
+    assert s.evidence(" ".join("the loser and the idiot but the clown was stupid and the moron was trash".replace(" ", ""))) == 5.0
+    assert s.evidence("-".join("you are an idiot and a loser and a moron and a clown and more")) >= 5.0
+    assert s.evidence("the-" * 20 + "1d10t") == 5.0 and s.evidence("videotape") == 0.0
