@@ -1,8 +1,8 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash banding and exact verification.
 
-A document is the set of its word n-grams. Each tree of the forest sorts the documents' signatures as
-prefixes of a trie; matched prefixes are shortened from the deepest until the expected recall at the
-threshold reaches the target. Documents that share a prefix are candidates; a sketch of the whole signature
+A document is the set of its word n-grams. Its signature makes one key for each band; a band is as deep as
+the expected recall at the threshold allows, whatever the data. This fixed banding stands in place of an
+LSH forest. Documents that share a key are candidates; a sketch of the whole signature
 drops those that are far from alike. What is left forms families, in which all pairs are compared exactly,
 block by block, without a row for each pair: a task counts the links of its documents and returns a
 forest of links. Classes are the components of links.
