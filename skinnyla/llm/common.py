@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skinnyla import session
 from skinnyla.session import cut, new_path, shared_dir
 
-__all__ = ["batches", "cut", "new_path", "per_worker", "shared_dir", "small_batches", "table", "texts_of", "tokenizer_path", "utf8_buffer"]
+__all__ = ["batches", "cut", "new_path", "per_worker", "release", "shared_dir", "small_batches", "table", "texts_of", "tokenizer_path", "utf8_buffer"]
 
 
 def per_worker(name: str, key: object, make: Callable[[], object], _kept: list = []) -> object:  # noqa: B006
@@ -75,37 +75,6 @@ def release() -> None:
         trim(0)
 
 
-def per_worker(name: str, key: object, make: Callable[[], object], _kept: list = []) -> object:  # noqa: B006
-    """make() once for each Python worker; a worker keeps only the latest, as workers outlive a query."""
-    if not _kept or _kept[0][:2] != (name, key):
-        _kept.clear()  # the old one goes before the new one is made
-        release()
-        _kept.append((name, key, make()))
-    return _kept[0][2]
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings; null becomes the empty text."""
-    return [x or "" for x in column.to_pylist()]
-
-
-def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column and the rows' offsets in them; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) else (data[:0], np.zeros(1, np.int64))
-
-
-def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about most bytes, so that what is made of them stays small."""
-    for b in rows:
-        step = max(1, b.num_rows // max(1, b.nbytes // most))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
