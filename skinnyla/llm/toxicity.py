@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skinnyla.llm.common import batches, cut, per_worker, table, texts_of, utf8_buffer
-from skinnyla.llm.near_duplicates import signatures
+from skinnyla.llm.near_duplicates import THRESHOLD, WORDS, signatures
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -215,7 +215,8 @@ def distinct_texts(train: DataFrame, trees: int = 8) -> DataFrame:
 
     Else the words of a group of copies would pass for evidence.
     """
-    signed = signatures(train, 5, 3, "id", "text").select("node", F.explode(F.slice("keys", 1, trees)).alias("key"))
+    signed = signatures(train, WORDS, THRESHOLD, 0.9999, "id", "text")
+    signed = signed.select("node", F.explode(F.concat(F.slice("keys", 1, trees), F.array(F.xxhash64("h1", "h2")))).alias("key"))
     least = signed.groupBy("key").agg(F.min("node").alias("least"))
     again = signed.join(least, "key").where("node > least").select(F.col("node").alias("id")).distinct()
     return train.join(again, "id", "left_anti").select("text", "toxic")

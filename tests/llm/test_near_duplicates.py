@@ -1,8 +1,10 @@
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from skinnyla.llm import near_duplicates as nd
 from skinnyla.llm.components import connected_components
@@ -97,6 +99,52 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_depth():
-    assert nd.depth_for(0.9999, 0.8, 16, 4) == 3 and nd.depth_for(0.5, 0.8, 16, 4) == 4 and nd.depth_for(1.0, 0.5, 1, 6) == 1
-    assert nd.components_of(np.eye(3, dtype=bool)).tolist() == [0, 1, 2]
+def test_prefixes_are_shortened_until_the_recall():
+    miss = lambda s, lengths: np.prod([1 - s**d for d in lengths])
+    for s, recall in ((0.8, 0.9999), (0.8, 0.9), (0.86, 0.9999), (0.5, 0.99)):
+        out = nd.prefix_lengths(s, recall)
+        assert miss(s, out) <= 1 - recall and max(out) - min(out) <= 1
+        k = max(i for i, d in enumerate(out) if d == min(out))
+        assert max(out) == nd.DEEPEST or miss(s, [*out[:k], out[k] + 1, *out[k + 1 :]]) > 1 - recall
+    assert nd.prefix_lengths(1.0, 0.9) == [nd.DEEPEST] * nd.TREES
+
+
+def test_attainable_similarities():
+    for n in range(1, 40):
+        every = [Fraction(i, n + m - i) for m in range(1, 60) for i in range(1, min(n, m) + 1) if (i, m) != (n, n)]
+        assert nd.attainable(n, nd.THRESHOLD) == min((s for s in every if s >= nd.THRESHOLD), default=None)
+
+
+def test_forest_connects_what_the_matrix_connects():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = np.arange(rng.integers(1, 12)), 100 + np.arange(rng.integers(1, 12))
+        links = rng.random((len(a), len(b))) < 0.15
+        label = {int(x): int(x) for x in [*a, *b]}
+
+        def merged(pairs):
+            out = dict(label)
+            for x, y in pairs:
+                keep, gone = sorted((out[int(x)], out[int(y)]))
+                out = {k: keep if v == gone else v for k, v in out.items()}
+            return out
+
+        assert merged(zip(*nd.forest(a, b, links), strict=True)) == merged((a[i], b[j]) for i, j in zip(*np.nonzero(links), strict=True))
+
+
+def test_filter_keeps_all_members(spark):
+    docs = spark.range(5000).select(F.col("id").alias("node"), F.lit("x").alias("text"))
+    kept = {r.node for r in nd.likely_among(docs, docs.where("node % 10 = 3").select("node")).collect()}
+    assert set(range(3, 5000, 10)) <= kept and len(kept) < 600
+    assert nd.likely_among(docs, docs.limit(0).select("node")).count() == 0
+
+
+def test_short_texts(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        w = [f"s{i}x{j}" for j in range(rng.randint(1, 30))]
+        rows.append((3 * i, " ".join(w)))
+        rows += [(3 * i + 1, " ".join(w[: max(1, len(w) - 1)])), (3 * i + 2, " ".join([*w, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in nd.join(docs).collect()} == {rows[i][0]: x for i, x in brute(rows).items()}
