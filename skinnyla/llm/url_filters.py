@@ -1,8 +1,9 @@
 """URL filters: fixed rules, and host reputation by empirical Bayes for what the rules leave open.
 
-Labelled outcomes (bad or good pages) are counted by host. Beta-binomial priors shrink a host's rate to
-its registered domain's, that to its suffix's, and that to the rate of all. A page is blocked if the
-posterior lower bound of its host's bad rate is above a threshold. DataFrame functions only.
+Labelled page outcomes (bad or good) are counted by host, registered domain and suffix. A beta-binomial prior
+shrinks a host's rate to its domain's, that to its suffix's, and that to the rate of all; how strong each
+prior is, follows from how much the rates below it differ beyond chance (moments of the counts). A page is
+blocked if the posterior lower bound of its host's bad rate is above a threshold. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from skinnyla.llm.common import cut, table
 # The rules, as host and path prefix.
 BLOCK = ("net/", "example.com/de/")
 ALLOW = ("example.net/en/", "org/fr/")
-#: Words of a host name by which a page counts as a bad outcome where no labelled outcomes are given.
-BAD_WORDS = ("ads", "adult", "bets", "betting", "casino", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
+# Labels that make a suffix with the country behind them, and hosts whose subdomains are others' domains.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "ne", "or", "org")
+SHARED_HOSTS = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "web.app", "wordpress.com")
+#: Bounds of a prior's strength in pages.
+STRENGTH = (1.0, 1000.0)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -39,41 +43,70 @@ def matched_rule(host: Column, path: Column, rules: list[str]) -> Column:
 
 
 def domain_of(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label) without a port."""
+    """Registered domain and suffix of a host without user and port; an address is both its own domain and `ip`.
+
+    The suffix is the last label, the last two under a country's second level (co.uk) and shared hosts (github.io).
+    """
     name = F.regexp_replace(host, r"(^[^@]*@)|(:[0-9]*$)|(\.$)", "")
-    return F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+    two = name.rlike(rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$") | F.substring_index(name, ".", -2).isin(*SHARED_HOSTS)
+    domain = F.when(address, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    suffix = F.when(address, F.lit("ip")).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return domain, suffix
+
+
+def strength(bad: str, n: str, of_bad: str, of_n: str) -> Column:
+    """The strength of a prior (its pseudo-counts) by the moments of the children's counts around their parents' rates.
+
+    With intra-class correlation r, a child of n pages varies by 1 + (n - 1) r times what chance alone gives.
+    """
+    x, m, p, total = F.col(bad), F.col(n), F.col(of_bad) / F.col(of_n), F.col(of_n)
+    use = (m > 0) & (F.col(of_bad) > 0) & (F.col(of_bad) < total)
+    rest = 1 - m / total
+    excess = F.sum(F.when(use, m * (x / m - p) * (x / m - p) / (p * (1 - p)) - rest))
+    room = F.sum(F.when(use, rest * (m - 1)))
+    r = F.when(room > 0, F.greatest(excess, F.lit(0.0)) / room)
+    low, high = map(F.lit, STRENGTH)
+    return F.coalesce(F.when(r * (high + 1) <= 1, high).otherwise(F.greatest(low, (1 - r) / r)), low)
 
 
-def reputation(outcomes: DataFrame, strength: float = 1.0, z: float = 1.0) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = 1.0) -> DataFrame:
     """(host, posterior mean, lower bound, n) from outcomes(host, bad 0/1/null).
 
-    Every host of the outcomes gets a row, also those without a labelled page. Counts are aggregated
-    before any shuffle. strength: pseudo-counts of a prior; z: standard deviations below the mean. null
-    outcomes do not count. Each level's prior leaves out nothing: levels are sums of the host table,
-    which has a row for each host only.
+    Every host of the outcomes gets a row, also those without a labelled page. Counts are aggregated before any
+    shuffle, and levels are sums of the host table, which is written once. null outcomes do not count. z: standard
+    deviations below the mean.
     """
     hosts = outcomes.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("bad").alias("n")).fillna(0, ["bad"])
     domain, suffix = domain_of(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("d_bad"), F.sum("n").alias("d_n"))
+    hosts = cut(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
+    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("d_bad"), F.sum("n").alias("d_n")))
     suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_n").alias("s_n"))
-    every = suffixes.agg(((F.coalesce(F.sum("s_bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("s_n"), F.lit(0)) + 2)).alias("p0"))
-    k = F.lit(float(strength))
-    suffixes = suffixes.withColumn("p_s", (F.col("s_bad") + k * every.scalar()) / (F.col("s_n") + k))
-    domains = domains.join(suffixes.select("suffix", "p_s"), "suffix").withColumn("p_d", (F.col("d_bad") + k * F.col("p_s")) / (F.col("d_n") + k))
-    a, b = F.col("bad") + k * F.col("p_d"), F.col("n") - F.col("bad") + k * (1 - F.col("p_d"))
+    every = suffixes.agg(F.sum("s_bad").alias("e_bad"), F.sum("s_n").alias("e_n"))
+    of_every = suffixes.crossJoin(F.broadcast(every))  # one row
+    of_suffix = domains.join(suffixes, "suffix")
+    of_domain = hosts.join(domains, ["domain", "suffix"])
+    k_s = of_every.agg(strength("s_bad", "s_n", "e_bad", "e_n").alias("k"))
+    k_d = of_suffix.agg(strength("d_bad", "d_n", "s_bad", "s_n").alias("k"))
+    k_h = of_domain.agg(strength("bad", "n", "d_bad", "d_n").alias("k"))
+    k = F.broadcast(k_s.select(F.col("k").alias("k_s")).crossJoin(k_d.select(F.col("k").alias("k_d"))).crossJoin(k_h.select(F.col("k").alias("k_h"))).crossJoin(every))
+    p0 = (F.coalesce("e_bad", F.lit(0)) + 1) / (F.coalesce("e_n", F.lit(0)) + 2)
+    p_s = (F.col("s_bad") + F.col("k_s") * p0) / (F.col("s_n") + F.col("k_s"))
+    p_d = (F.col("d_bad") + F.col("k_d") * F.col("p_s")) / (F.col("d_n") + F.col("k_d"))
+    levels = of_suffix.crossJoin(k).withColumn("p_s", p_s).select("domain", "suffix", "k_h", p_d.alias("p_d"))
+    a, b = F.col("bad") + F.col("k_h") * F.col("p_d"), F.col("n") - F.col("bad") + F.col("k_h") * (1 - F.col("p_d"))
     mean = a / (a + b)
     low = mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return hosts.join(domains.select("domain", "p_d"), "domain").select("host", mean.alias("bad_rate"), F.greatest(low, F.lit(0.0)).alias("bad_low"), "n")
+    return hosts.join(cut(levels), ["domain", "suffix"]).select("host", mean.alias("bad_rate"), F.greatest(low, F.lit(0.0)).alias("bad_low"), "n")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame | None = None, block=BLOCK, allow=ALLOW, threshold: float = 0.2, strength: float = 1.0, z: float = 1.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame | None = None, block=BLOCK, allow=ALLOW, threshold: float = 0.5, z: float = 1.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, bad_rate, bad_low.
 
-    outcomes: labelled pages as (url, bad 0/1). Left out, every page is an outcome, bad if a word of its
-    host is in BAD_WORDS (rules say nothing of a host beyond their path, so they are no outcomes).
-    The verdict is the rule's; without a rule, block where the lower bound of the host's bad rate is
-    above the threshold, else allow. A null or empty url has an empty host and path, no rule, and is
+    outcomes: labelled pages as (url, bad 0/1). Left out, the rules label the pages: bad if one blocks it, else
+    good, as a page that was ruled on and not blocked is; counting only pages that a rule names would make a host
+    bad for one path of it. The verdict is the rule's; without a rule, block where the lower bound of the host's bad
+    rate is above the threshold, else allow. A null or empty url has an empty host and path, no rule, and is
     judged by the rate of the empty host. Repeated rows and null ids pass one by one; other columns are
     not read. The table of hosts is written before the last join, so that Spark sees its size and
     either broadcasts it or splits the partition of a hot host.
@@ -84,11 +117,11 @@ def judge(pages: DataFrame, outcomes: DataFrame | None = None, block=BLOCK, allo
     named = named.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
     bad = F.when(F.col("rule").isin(*block), 1).when(F.col("rule").isNotNull(), 0)
     if outcomes is None:
-        labelled = named.select("host", F.col("host").rlike(f"(^|[^a-z])({'|'.join(BAD_WORDS)})([^a-z]|$)").cast("int").alias("bad"))
+        labelled = named.select("host", F.coalesce(bad, F.lit(0)).alias("bad"))
     else:
         other = outcomes.select(F.col("url").cast("string").alias("url"), "bad")
         labelled = named.select("host", F.lit(None).cast("int").alias("bad")).unionByName(other.select(split_url(F.col("url"))[0].alias("host"), F.col("bad").cast("int").alias("bad")))
-    known = cut(reputation(labelled, strength, z).where(F.col("host").isNotNull()))
+    known = cut(reputation(labelled, z).where(F.col("host").isNotNull()))
     verdict = F.when(bad == 1, "block").when(bad == 0, "allow").when(F.col("bad_low") > threshold, "block").otherwise("allow")
     return named.join(known, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_rate", "bad_low")
 
@@ -109,16 +142,28 @@ ruled AS (
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM named),
-outcomes AS (SELECT host, regexp_matches(host, '(^|[^a-z])(ads|adult|bets|betting|casino|pills|poker|porn|spam|viagra|warez|xxx)([^a-z]|$)')::INT AS bad FROM ruled),
-counted AS (SELECT host, coalesce(sum(bad), 0) AS bad, count(bad) AS n FROM outcomes GROUP BY host),
-hosts AS (SELECT *, regexp_replace(host, '(^[^@]*@)|(:[0-9]*$)|(\.$)', '', 'g') AS name FROM counted),
-levels AS (SELECT *, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS domain, list_extract(string_split(name, '.'), -1) AS suffix FROM hosts),
-p0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p FROM levels),
-s AS (SELECT suffix, (sum(bad) + 1.0 * (SELECT p FROM p0)) / (sum(n) + 1.0) AS p FROM levels GROUP BY suffix),
-d AS (SELECT domain, (sum(bad) + 1.0 * any_value(s.p)) / (sum(n) + 1.0) AS p FROM levels JOIN s USING (suffix) GROUP BY domain),
-ab AS (SELECT host, bad + 1.0 * p AS a, n - bad + 1.0 * (1 - p) AS b FROM levels JOIN d USING (domain)),
+outcomes AS (SELECT host, (coalesce(rule, '') IN ('net/', 'example.com/de/'))::INT AS bad FROM ruled),
+counted AS (SELECT host, sum(bad) AS bad, count(*) AS n FROM outcomes GROUP BY host),
+named_hosts AS (SELECT *, regexp_replace(host, '(^[^@]*@)|(:[0-9]*$)|(\.$)', '', 'g') AS name FROM counted),
+labels AS (SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') OR starts_with(name, '[') AS address,
+  regexp_matches(name, '(^|\.)(ac|co|com|edu|gov|net|ne|or|org)\.[a-z][a-z]$') OR array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') IN
+    ('appspot.com', 'blogspot.com', 'github.io', 'gitlab.io', 'herokuapp.com', 'netlify.app', 'pages.dev', 'web.app', 'wordpress.com') AS two FROM named_hosts),
+hosts AS (SELECT host, bad, n, CASE WHEN address THEN name ELSE array_to_string(list_slice(l, CASE WHEN two THEN -3 ELSE -2 END, -1), '.') END AS domain,
+  CASE WHEN address THEN 'ip' WHEN two THEN array_to_string(list_slice(l, -2, -1), '.') ELSE list_extract(l, -1) END AS suffix FROM labels),
+d AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
+e AS (SELECT sum(bad) AS bad, sum(n) AS n FROM s),
+pairs AS (SELECT 'h' AS level, h.bad AS x, h.n AS m, d.bad / d.n AS p, d.n AS total FROM hosts h JOIN d USING (domain, suffix)
+  UNION ALL SELECT 'd', d.bad, d.n, s.bad / s.n, s.n FROM d JOIN s USING (suffix) UNION ALL SELECT 's', s.bad, s.n, e.bad / e.n, e.n FROM s, e),
+moments AS (SELECT level, sum(m * (x / m - p) * (x / m - p) / (p * (1 - p)) - (1 - m / total)) AS excess, sum((1 - m / total) * (m - 1)) AS room
+  FROM pairs WHERE p > 0 AND p < 1 GROUP BY level),
+k AS (SELECT level, CASE WHEN room > 0 THEN CASE WHEN greatest(excess, 0) / room * 1001 <= 1 THEN 1000.0
+  ELSE greatest(1.0, (1 - greatest(excess, 0) / room) / (greatest(excess, 0) / room)) END ELSE 1.0 END AS k FROM moments),
+ks AS (SELECT coalesce(max(k) FILTER (level = 'h'), 1.0) AS kh, coalesce(max(k) FILTER (level = 'd'), 1.0) AS kd, coalesce(max(k) FILTER (level = 's'), 1.0) AS ks FROM k),
+rates AS (SELECT domain, suffix, kh, (d.bad + kd * (s.bad + ks * (e.bad + 1) / (e.n + 2)) / (s.n + ks)) / (d.n + kd) AS p FROM d JOIN s USING (suffix), ks, e),
+ab AS (SELECT host, bad + kh * p AS a, n - bad + kh * (1 - p) AS b FROM hosts JOIN rates USING (domain, suffix)),
 low AS (SELECT host, a / (a + b) - 1.0 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low FROM ab)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN low > 0.2 THEN 'block' ELSE 'allow' END AS verdict
+  WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN low USING (host)
 """

@@ -9,7 +9,38 @@ def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert got == sorted(con.sql(url_filters.ORACLE).fetchall())
-    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
+    assert {r[4] for r in got} == {"allow", "block"}
+
+
+def test_outcomes_decide_and_words_do_not(spark, tmp_path):
+    rows = [f"http://calm.example.com/de/{i}" for i in range(30)] + ["http://calm.example.com/en/x"]
+    rows += [f"http://casino-spam.example.com/en/{i}" for i in range(30)]
+    rows += [f"http://h{i}.example.com/{'de' if i % 2 else 'en'}/{k}" for i in range(20) for k in range(12)] + [f"http://h{i}.example.com/fr/" for i in range(20)]
+    rows += [f"http://w{i}.co.uk/{k}" for i in range(5) for k in range(3)] + ["http://10.2.3.4:80/a", "http://u@x.github.io/", None]
+    spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in url_filters.query(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(got.items()) == sorted((r[0], r[4]) for r in con.sql(url_filters.ORACLE).fetchall())
+    verdict = {u: got[i] for i, u in enumerate(rows)}
+    assert verdict["http://calm.example.com/en/x"] == "block" and verdict["http://casino-spam.example.com/en/0"] == "allow"
+    assert all(verdict[f"http://h{i}.example.com/fr/"] == ("block" if i % 2 else "allow") for i in range(20))
+    assert verdict["http://10.2.3.4:80/a"] == verdict["http://w1.co.uk/0"] == "allow"
+
+
+def test_domains(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "a.b.co.uk:80": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "me.github.io": ("me.github.io", "github.io"), "u@10.0.3.4": ("10.0.3.4", "ip"), "[::1]": ("[::1]", "ip"), "x": ("x", "x"), "": ("", ""), "a.org.": ("a.org", "org")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *url_filters.domain_of(df.host)).collect()} == hosts
+
+
+def test_prior_strength_follows_the_spread(spark):
+    def k(counts):
+        df = spark.createDataFrame([(x, n, sum(a for a, _ in counts), sum(b for _, b in counts)) for x, n in counts], "x long, n long, ox long, on long")
+        return df.agg(url_filters.strength("x", "n", "ox", "on")).first()[0]
+
+    assert k([(5, 20)] * 30) == url_filters.STRENGTH[1] and k([(0, 20), (20, 20)] * 15) == url_filters.STRENGTH[0]
+    assert 1 < k([(i % 21, 20) for i in range(63)]) < 10 and k([(0, 0)]) == k([(3, 3)]) == url_filters.STRENGTH[0]
 
 
 def test_odd_rows(spark):
