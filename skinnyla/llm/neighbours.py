@@ -57,6 +57,15 @@ class Tree:
             at = 2 * at + 1 + (np.einsum("ij,ij->i", x, self.planes[at]) > self.cuts[at])
         return at - ((1 << self.depth) - 1)
 
+    def costs(self, x: np.ndarray) -> np.ndarray:
+        """The squared margins on the way to each leaf of the splits on whose far side it lies, a row for each of x."""
+        margins, out = x @ self.planes.T - self.cuts, np.zeros((len(x), 1))
+        for level in range(self.depth):
+            m = margins[:, (1 << level) - 1 : (2 << level) - 1]
+            right = m > 0
+            out = np.stack([out + np.where(right, m * m, 0.0), out + np.where(right, 0.0, m * m)], axis=2).reshape(len(x), -1)
+        return out
+
 
 class Forest:
     def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int):
@@ -86,22 +95,23 @@ class Forest:
     def calibrate(self, sample: np.ndarray, k: int, recall: float, queries: int, seed: int) -> int:
         """How many vectors of the sample the opened leaves hold when the share of true neighbours in them is the recall.
 
-        A leaf counts from the start for the neighbours in it, as a search opens leaves whole.
+        The queue opens leaves in the order of their costs, and whole.
         """
         at = np.stack([t.leaves(sample) for t in self.trees])
-        n_leaves = len(self.trees[0].cuts) + 1
-        sizes = np.stack([np.bincount(x, minlength=n_leaves) for x in at])
+        sizes = np.stack([np.bincount(x, minlength=len(self.trees[0].cuts) + 1) for x in at])
         asked = np.random.default_rng(seed).permutation(len(sample))[:queries]
         need, square = [], (sample * sample).sum(axis=1)
-        for i in asked:
-            far = square - 2 * (sample @ sample[i])
-            far[i] = np.inf
-            near = np.argsort(far)[: min(k, len(sample) - 1)]
-            before, held = np.full(sizes.shape, sizes.sum()), 0
-            for t, leaf in self.search(sample[i], sizes, np.inf):
-                before[t, leaf] = held
-                held += sizes[t, leaf]
-            need.append(before[np.arange(len(at))[:, None], at[:, near]].min(axis=0) + 1)
+        for part in np.array_split(asked, max(1, len(asked) // 50)):
+            costs = np.concatenate([t.costs(sample[part]) for t in self.trees], axis=1)
+            for i, own in zip(part, costs, strict=True):
+                far = square - 2 * (sample @ sample[i])
+                far[i] = np.inf
+                near = np.argpartition(far, min(k, len(far)) - 1)[:k]
+                order = np.argsort(own, kind="stable")
+                held = np.cumsum(sizes.ravel()[order])
+                before = np.empty(len(order), np.int64)
+                before[order] = held - sizes.ravel()[order]
+                need.append(before.reshape(sizes.shape)[np.arange(len(at))[:, None], at[:, near[far[near] < np.inf]]].min(axis=0) + 1)
         need = np.sort(np.concatenate(need)) if need else np.zeros(0)
         return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) if len(need) else 1
 

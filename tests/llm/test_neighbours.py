@@ -91,6 +91,7 @@ def test_queue_opens_leaves_by_their_cost():
                     cost += m * m if (m > 0) != (node == 2 * up + 2) else 0.0
                     node = up
                 costs.append((cost, t, leaf))
+            assert np.allclose(tree.costs(q[None])[0], [c for c, _, _ in costs[-16:]])
         order = forest.search(q, np.ones((3, 16), int), np.inf)
         want = {(t, leaf): c for c, t, leaf in costs}
         assert len(order) == 48 and np.all(np.diff([want[x] for x in order]) >= -1e-12)
