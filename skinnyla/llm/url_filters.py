@@ -55,13 +55,14 @@ def domain_of(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def strength(bad: str, n: str, of_bad: str, of_n: str) -> Column:
+def strength(bad: str, n: str, of_bad: str | Column, of_n: str | Column) -> Column:
     """The strength of a prior (its pseudo-counts) by the moments of the children's counts around their parents' rates.
 
     With intra-class correlation r, a child of n pages varies by 1 + (n - 1) r times what chance alone gives.
     """
-    x, m, p, total = F.col(bad), F.col(n), F.col(of_bad) / F.col(of_n), F.col(of_n)
-    use = (m > 0) & (F.col(of_bad) > 0) & (F.col(of_bad) < total)
+    x, m = F.col(bad), F.col(n)
+    of_x, total = (F.col(c) if isinstance(c, str) else c for c in (of_bad, of_n))
+    p, use = of_x / total, (m > 0) & (of_x > 0) & (of_x < total)
     rest = 1 - m / total
     excess = F.sum(F.when(use, m * (x / m - p) * (x / m - p) / (p * (1 - p)) - rest))
     room = F.sum(F.when(use, rest * (m - 1)))
@@ -81,20 +82,18 @@ def reputation(outcomes: DataFrame, z: float = 1.0) -> DataFrame:
     domain, suffix = domain_of(F.col("host"))
     hosts = cut(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("d_bad"), F.sum("n").alias("d_n")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_n").alias("s_n"))
-    every = suffixes.agg(F.sum("s_bad").alias("e_bad"), F.sum("s_n").alias("e_n"))
-    of_every = suffixes.crossJoin(F.broadcast(every))  # one row
+    suffixes = cut(domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_n").alias("s_n")))
+    every = suffixes.agg(F.coalesce(F.sum("s_bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("s_n"), F.lit(0)).alias("n")).first()
     of_suffix = domains.join(suffixes, "suffix")
     of_domain = hosts.join(domains, ["domain", "suffix"])
-    k_s = of_every.agg(strength("s_bad", "s_n", "e_bad", "e_n").alias("k"))
-    k_d = of_suffix.agg(strength("d_bad", "d_n", "s_bad", "s_n").alias("k"))
-    k_h = of_domain.agg(strength("bad", "n", "d_bad", "d_n").alias("k"))
-    k = F.broadcast(k_s.select(F.col("k").alias("k_s")).crossJoin(k_d.select(F.col("k").alias("k_d"))).crossJoin(k_h.select(F.col("k").alias("k_h"))).crossJoin(every))
-    p0 = (F.coalesce("e_bad", F.lit(0)) + 1) / (F.coalesce("e_n", F.lit(0)) + 2)
-    p_s = (F.col("s_bad") + F.col("k_s") * p0) / (F.col("s_n") + F.col("k_s"))
-    p_d = (F.col("d_bad") + F.col("k_d") * F.col("p_s")) / (F.col("d_n") + F.col("k_d"))
-    levels = of_suffix.crossJoin(k).withColumn("p_s", p_s).select("domain", "suffix", "k_h", p_d.alias("p_d"))
-    a, b = F.col("bad") + F.col("k_h") * F.col("p_d"), F.col("n") - F.col("bad") + F.col("k_h") * (1 - F.col("p_d"))
+    k_s, k_d, k_h = (  # a number each
+        F.lit(df.agg(strength(*columns)).first()[0])
+        for df, columns in ((suffixes, ("s_bad", "s_n", F.lit(every.bad), F.lit(every.n))), (of_suffix, ("d_bad", "d_n", "s_bad", "s_n")), (of_domain, ("bad", "n", "d_bad", "d_n")))
+    )
+    p_s = (F.col("s_bad") + k_s * ((every.bad + 1) / (every.n + 2))) / (F.col("s_n") + k_s)
+    p_d = (F.col("d_bad") + k_d * F.col("p_s")) / (F.col("d_n") + k_d)
+    levels = of_suffix.withColumn("p_s", p_s).select("domain", "suffix", p_d.alias("p_d"))
+    a, b = F.col("bad") + k_h * F.col("p_d"), F.col("n") - F.col("bad") + k_h * (1 - F.col("p_d"))
     mean = a / (a + b)
     low = mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))
     return hosts.join(cut(levels), ["domain", "suffix"]).select("host", mean.alias("bad_rate"), F.greatest(low, F.lit(0.0)).alias("bad_low"), "n")
