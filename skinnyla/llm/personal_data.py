@@ -1,12 +1,12 @@
 """Personal data: fixed base patterns, and identifiers found by bootstrapped contexts.
 
-Seeds (base matches and values in known secret formats) induce contexts: one or two words before, or the
+Seeds (base matches, and three quarters of the values under known keys or in known formats) induce contexts: one or two words before, or the
 words on both sides, with the punctuation between. Every token in a context that seeds have induced is
 an instance, whatever its characters and length. Identifier-like tokens are instances anywhere, with
-further patterns: the key that is assigned to (`password=`), the format with its prefix, and the format
-alone. Spark scores the graph of patterns and instances in turns: a pattern by the mean confidence of its
+further patterns: the key that is assigned to (`password=`), and the format with its prefix. Spark scores the graph of patterns and instances in turns: a pattern by the mean confidence of its
 distinct instances, an instance by its best pattern. Patterns that end above the threshold mark the
-instances that were no seeds.
+instances that were no seeds. The last quarter of the known values is held out: patterns have to discover them,
+which shows what patterns find of values that no list knows; missed ones are marked all the same.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone", "identifier")
 
 DIGITS = re.compile(r"[0-9]+[A-Za-z0-9_+/]*")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/")
-KEY = re.compile(r"([A-Za-z][A-Za-z_-]{1,30})\s{0,2}[=:]\s{0,2}[\"']?$")
+KEY_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-")
 SEED_KEYS = frozenset(("password", "passwd", "secret", "token", "api_key", "apikey", "access_key"))
 SEED_FORMAT = re.compile(r"AKIA[A-Z0-9]{16}$")
 LEAST = 8  # characters of an identifier that no context marks
@@ -48,9 +48,9 @@ ASSIGNED = re.compile(r"""\s*[=:]\s*["'`]?""")
 SEED_SHARE = 0.2
 
 SPAN = "struct<kind: string, start: int, end: int>"
-FOUND = "struct<start: int, end: int, instance: long, seed: boolean, patterns: array<string>>"
+FOUND = "struct<start: int, end: int, instance: long, seed: boolean, known: boolean, patterns: array<string>>"
 SCHEMA = f"doc_id long, text_key long, base array<{SPAN}>, base_sha256 string, found array<{FOUND}>, induced array<{FOUND}>"
-FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("known", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
 
 def luhn(digits: str) -> bool:
@@ -96,8 +96,25 @@ def form(token: str) -> str:
     return f"{kind}|{len(token)}"
 
 
+def key_before(text: str, start: int) -> str | None:
+    """The lower-cased key of two letters or more that the value at start is assigned to by = or :, if any."""
+    at = start - 1 if text[start - 1 : start] in ("'", '"') else start
+    while at and text[at - 1].isspace():
+        at -= 1
+    if not at or text[at - 1] not in "=:":
+        return None
+    at -= 1
+    while at and text[at - 1].isspace():
+        at -= 1
+    begin = at
+    while begin and text[begin - 1] in KEY_CHARACTERS:
+        begin -= 1
+    key = text[begin:at].lstrip("_-").lower()
+    return key if len(key) > 1 else None
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]):
-    """Identifier-like tokens apart from the base spans: (start, end, token, seed, patterns)."""
+    """Identifier-like tokens apart from the base spans: (start, end, token, seed, known, patterns)."""
     if not HAS_DIGIT(text):
         return
     spans = sorted((s, e) for _, s, e in taken)
@@ -116,12 +133,10 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
         token = text[start:end]
         if token.isdigit():
             continue
-        key = KEY.search(text, max(0, start - 40), start)
-        key = key[1].lower() if key else None
-        seed = key in SEED_KEYS and end - start >= 16 or bool(SEED_FORMAT.match(token))
-        shape = form(token)
-        patterns = [f"form:{shape}"] + [f"prefix:{token[:4]}|{shape}"] * token[:4].isalpha() + ([f"key:{key}"] if key else [])
-        yield start, end, token, seed, patterns
+        key = key_before(text, start)
+        known = key in SEED_KEYS and end - start >= 16 or bool(SEED_FORMAT.match(token))
+        patterns = [f"prefix:{token[:4]}|{form(token)}"] * token[:4].isalpha() + ([f"key:{key}"] if key else [])
+        yield start, end, token, known and instance_of(token) % 4 > 0, known, patterns
 
 
 def instance_of(token: str) -> int:
@@ -196,9 +211,9 @@ def word_of(pattern: str) -> str:
 
 
 def seeds_of(text: str) -> dict[int, int]:
-    """Ends of base matches and of values in known secret formats by their starts, the longest at each."""
+    """Ends of base matches and of the other seeds by their starts, the longest at each."""
     spans = base_spans(text)
-    return ends([(s, e) for _, s, e in spans] + [(s, e) for s, e, _, seed, _ in candidates(text, spans) if seed])
+    return ends([(s, e) for _, s, e in spans] + [(s, e) for s, e, _, seed, _, _ in candidates(text, spans) if seed])
 
 
 def ends(spans) -> dict[int, int]:
@@ -219,9 +234,9 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 sha.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest())
-                found.append([{"start": s, "end": e, "instance": instance_of(t), "seed": seed, "patterns": p} for s, e, t, seed, p in candidates(text, spans)])
+                found.append([{"start": s, "end": e, "instance": instance_of(t), "seed": seed, "known": known, "patterns": p} for s, e, t, seed, known, p in candidates(text, spans)])
                 seeds = ends([(s, e) for _, s, e in spans] + [(f["start"], f["end"]) for f in found[-1] if f["seed"]])
-                induced.append([{"start": s, "end": e, "instance": instance_of(text[s:e]), "seed": True, "patterns": p} for s, e, _, p in in_contexts(text, seeds)] if seeds else [])
+                induced.append([{"start": s, "end": e, "instance": instance_of(text[s:e]), "seed": True, "known": True, "patterns": p} for s, e, _, p in in_contexts(text, seeds)] if seeds else [])
             span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span)), pa.array(sha), pa.array(found, FOUND_TYPE), pa.array(induced, FOUND_TYPE)], names=["doc_id", "text_key", "base", "base_sha256", "found", "induced"])
 
@@ -306,31 +321,42 @@ def score_patterns(found: DataFrame, rounds: int, least_seeds: int) -> DataFrame
     return patterns.where(F.col("seeds") >= least_seeds).select("pattern", "p")
 
 
+ADDED = "struct<kind: string, start: int, end: int, by: string>"
+
+
 def discover(docs: DataFrame, extracted: DataFrame, threshold: float, rounds: int, least_seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """(text_key, added): the identifiers' spans of each text that has any, without those within another."""
+    """(text_key, added): the identifiers' spans of each text that has any, without those within another.
+
+    by: seed, pattern (discovered by one) or known (held out, and not discovered).
+    """
     found = extracted.where(F.size("found") > 0).select("text_key", F.explode("found").alias("f")).select("text_key", "f.*")
     learned = learned_contexts(docs, extracted, least_seeds, id_col, text_col)
-    every = found.unionByName(cut(tokens_in(docs, learned, id_col, text_col))) if learned else found
+    every = found.drop("known")
+    every = every.unionByName(cut(tokens_in(docs, learned, id_col, text_col))) if learned else every
     patterns = score_patterns(every, rounds, least_seeds).where(F.col("p") >= threshold)
-    seeds = found.where("seed").select("text_key", "start", "end")
-    others = every.where("not seed").select("text_key", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").select("text_key", "start", "end")
-    span = F.struct(F.lit("identifier").alias("kind"), "start", "end")
-    added = seeds.unionByName(others).groupBy("text_key").agg(F.collect_set(span).alias("added"))
+    known = found.where("known").select("text_key", "start", "end", F.when(F.col("seed"), "seed").otherwise("known").alias("by"))
+    others = every.where("not seed").select("text_key", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern").select("text_key", "start", "end", F.lit("pattern").alias("by"))
+    spans = known.unionByName(others).groupBy("text_key", "start", "end").agg(F.max("by").alias("by"))  # seed, pattern, known
+    added = spans.groupBy("text_key").agg(F.collect_list(F.struct(F.lit("identifier").alias("kind"), "start", "end", "by")).alias("added"))
     within = "filter(added, x -> not exists(added, y -> y.start <= x.start and y.end >= x.end and y.end - y.start > x.end - x.start))"
     return added.select("text_key", F.expr(within).alias("added"))
 
 
 def find(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, base spans, base_sha256 and all spans (array of kind, start, end).
+    """One row per row of docs: doc_id, base spans, base_sha256, all spans (kind, start, end), n_seeds, n_discovered.
 
     Spans are in code points, end exclusive, by kind (as KINDS lists them), then start. A null text is
     empty and has no spans; null ids, repeated rows and other columns do no harm: a row is told by its
     id and text, and equal rows get equal spans.
     """
     extracted = cut(extract(docs, id_col, text_col))
-    spans = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
+    added = F.coalesce("added", F.array().cast(f"array<{ADDED}>"))
+    spans = F.concat("base", F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return extracted.drop("found", "induced").join(discover(docs, extracted, threshold, rounds, least_seeds, id_col, text_col), "text_key", "left").select("doc_id", "base", "base_sha256", F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    ordered = F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    count = lambda name: F.size(F.filter(added, lambda x: x["by"] == name)).cast("long")
+    by = [count("seed").alias("n_seeds"), count("pattern").alias("n_discovered")]
+    return extracted.drop("found", "induced").join(discover(docs, extracted, threshold, rounds, least_seeds, id_col, text_col), "text_key", "left").select("doc_id", "base", "base_sha256", ordered.alias("spans"), *by)
 
 
 def redact(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,4 +390,4 @@ def query(spark, sf_dir):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return find(table(spark, sf_dir, "documents")).select("doc_id", *map(n, KINDS[:4]), "base_sha256", text.alias("spans"))
+    return find(table(spark, sf_dir, "documents")).select("doc_id", *map(n, KINDS[:4]), "base_sha256", text.alias("spans"), "n_seeds", "n_discovered")
