@@ -263,15 +263,24 @@ def tokens_in(docs: DataFrame, learned: frozenset[str], id_col: str, text_col: s
 
 
 def learned_contexts(docs: DataFrame, extracted: DataFrame, least_seeds: int, id_col: str, text_col: str) -> frozenset[str]:
-    """The contexts of at least least_seeds distinct seeds that hold a fair share of seeds.
+    """The contexts of at least least_seeds distinct seeds that hold a fair share of seeds, counted over all texts.
 
-    A task stops to look for a context once it has seen more distinct instances than the share allows, as
-    all texts hold no fewer. So a context as common as `the` costs a task no more than these.
+    Contexts that hold too many other instances in a fiftieth of the texts already, as common words do, can hold no
+    fewer in all of them: they are left out before all texts are read.
     """
     induced = extracted.where(F.size("induced") > 0).select(F.explode("induced").alias("i")).select("i.instance", F.explode("i.patterns").alias("pattern"))
     seeds = {r.pattern: r.n for r in induced.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= least_seeds).collect()}
-    if not seeds:
-        return frozenset()
+    for some in (docs.where(F.pmod(row_key(id_col, text_col), F.lit(50)) == 0), docs):
+        over = crowded(some, seeds, text_col) if seeds else ()
+        seeds = {p: n for p, n in seeds.items() if p not in over}
+    return frozenset(seeds)
+
+
+def crowded(docs: DataFrame, seeds: dict[str, int], text_col: str) -> frozenset[str]:
+    """The contexts of seeds whose distinct instances in docs are more than SEED_SHARE allows for their seeds.
+
+    A task stops to look for a context once it has seen that many, so one as common as `the` costs it no more.
+    """
 
     def run(rows):
         seen: dict[str, set[int]] = {p: set() for p in seeds}
@@ -298,7 +307,7 @@ def learned_contexts(docs: DataFrame, extracted: DataFrame, least_seeds: int, id
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern string, instance long")
     count = rows.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.bool_or(F.col("instance").isNull()).alias("over"))
-    return frozenset(r.pattern for r in count.where("not over").collect() if seeds[r.pattern] >= SEED_SHARE * r.n)
+    return frozenset(r.pattern for r in count.collect() if r.over or seeds[r.pattern] < SEED_SHARE * r.n)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
