@@ -1,51 +1,66 @@
 """I-Match fingerprints with DataFrame functions only.
 
-Document frequencies are counted over all documents by hashed term (a fixed number of counters). Terms
-whose frequency lies in a band, relative to the number of documents, make the lexicon; it is kept as a bit
-set of fixed size, so what the plan carries does not grow with the data. A fingerprint's components are
-hashes of the sorted distinct terms of a text that lie in randomised subsets of the lexicon.
+Document frequencies of all terms are counted exactly, by 64-bit hash, over all documents. Terms whose frequency
+lies in a band, relative to the number of documents, make the lexicon: n documents with t distinct terms on
+average have at most t / (lower bound) such terms, whatever n is, so it is a literal of the plan. A fingerprint's
+components are hashes of the sorted distinct terms of a text that lie in randomised subsets of the lexicon.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skinnyla.llm.common import table
 
-#: log2 of the number of counters for terms. Terms that share one are one term.
-BITS = 20
+#: Buckets of the lexicon's literal.
+BUCKETS = 1 << 16
 #: Band of document frequency, as a share of the documents.
 BAND = (0.002, 0.25)
+#: Most blocks of the id's range.
+BLOCKS = 1 << 16
 #: Random partitions of the lexicon: into how many parts, and how many of these are subsets. Large
 #: subsets tell near copies, small ones also texts that share a part.
 PARTS = ((1, 1), (4, 2), (8, 3), (16, 4), (32, 6), (64, 8), (128, 16))
 
 
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits of a text, lower-cased, and perhaps an empty one."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
 def hashed_terms(text: Column) -> Column:
-    """Sorted distinct hashed terms (runs of letters and digits, lower-cased) of a text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << BITS)).cast("int"))))
+    """Distinct hashed terms of a text."""
+    return F.array_remove(F.array_distinct(F.transform(words_of(text), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lexicon(terms: DataFrame, band=BAND) -> Column:
-    """Bit set (array of long) of the terms whose document frequency lies in the band.
+def lexicon(docs: DataFrame, text: Column, band=BAND) -> tuple[Column, Column]:
+    """The hashes of the terms whose document frequency lies in the band, by bucket, and where buckets begin.
 
-    terms: one column, arrays of distinct hashed terms. Counts are aggregated before the shuffle. The
-    driver collects 2^BITS / 64 numbers at most, whatever the size of the data.
+    Counts are aggregated before the shuffle; the driver collects what lies in the band only.
     """
-    n = terms.count()
+    n = docs.count()
     low, high = max(2.0, band[0] * n), max(3.0, band[1] * n)
-    counts = terms.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count").between(low, high))
-    rows = counts.groupBy(F.shiftright("t", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, t & 63)")).alias("bits")).collect()
-    words = [0] * ((1 << BITS) // 64)
-    for r in rows:
-        words[r.w] = r.bits
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded into a literal
+    terms = docs.select(F.explode(F.array_distinct(words_of(text))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("t"))
+    held = terms.groupBy("t").count().where(F.col("count").between(low, high)).select("t").toArrow().column("t").to_numpy()
+    bucket = held & (BUCKETS - 1)
+    held = held[np.lexsort((held, bucket))]
+    begins = np.searchsorted(np.sort(bucket), np.arange(BUCKETS + 1))
+    literal = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",")  # noqa: E731 - folded into a literal
+    return literal(held if len(held) else np.zeros(1, np.int64)).cast("array<bigint>"), literal(begins).cast("array<int>")
+
+
+def kept(terms: Column, words: tuple[Column, Column]) -> Column:
+    """The terms that are in the lexicon, sorted."""
+    held, begins = words
 
+    def known(t: Column) -> Column:
+        b = t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        first = F.element_at(begins, b + 1)
+        return F.array_contains(F.slice(held, first + 1, F.element_at(begins, b + 2) - first), t)
 
-def kept(terms: Column, bits: Column) -> Column:
-    return F.filter(terms, lambda t: F.getbit(F.element_at(bits, F.shiftright(t, 6) + 1), t.bitwiseAND(F.lit(63))) == 1)
+    return F.array_sort(F.filter(terms, known))
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -53,7 +68,7 @@ def part_of(term: Column, parts: int) -> Column:
 
 
 def text_of(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.coalesce(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lit("-"))), "")
+    return F.array_join(F.transform(marks, lambda x: F.coalesce(F.lpad(F.hex(x), 8, "0"), F.lit("-"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,19 +78,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), same / any_)
 
 
-def fingerprint(docs: DataFrame, text_col: str = "text", band=BAND) -> tuple[DataFrame, Column]:
+def fingerprint(docs: DataFrame, text_col: str = "text", band=BAND) -> tuple[DataFrame, tuple[Column, Column]]:
     """docs with a column marks (the components), and the lexicon they were made with.
 
     A null text is empty. Texts without a term of the lexicon are told by all their terms; equal texts have
     equal fingerprints, as have texts with equal terms in the lexicon.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bits = lexicon(docs.select(hashed_terms(text).alias("terms")), band)
-    return with_marks(docs, text, bits, "marks"), bits
+    words = lexicon(docs, text, band)
+    return with_marks(docs, text, words, "marks"), words
 
 
-def with_marks(df: DataFrame, text: Column, bits: Column, name: str) -> DataFrame:
-    """df with the components of a text: array<long>, a hash for each subset, null where it has no term.
+def with_marks(df: DataFrame, text: Column, words: tuple[Column, Column], name: str) -> DataFrame:
+    """df with the components of a text: array<long>, 32 bits of a hash for each subset, null where it has no term.
 
     The first component, of the whole lexicon, falls back on all terms where none is in the lexicon. Terms
     and the subsets' terms are steps of their own, so that they are made once.
@@ -88,12 +103,12 @@ def with_marks(df: DataFrame, text: Column, bits: Column, name: str) -> DataFram
         return F.filter(f"__few{parts}", lambda t: part_of(t, parts) == k)
 
     def mark(terms: Column) -> Column:
-        return F.when(F.size(terms) > 0, F.xxhash64(terms))
+        return F.when(F.size(terms) > 0, F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     names = df.columns
-    df = df.withColumn("__every", hashed_terms(text)).withColumn("__own", kept(F.col("__every"), bits))
+    df = df.withColumn("__every", hashed_terms(text)).withColumn("__own", kept(F.col("__every"), words))
     df = df.withColumns({f"__few{parts}": few(parts, k) for parts, k in PARTS if parts > 1})
-    marks = [F.coalesce(mark(F.col("__own")), F.xxhash64("__every"))]
+    marks = [F.coalesce(mark(F.col("__own")), F.xxhash64(F.array_sort("__every")).bitwiseAND(F.lit(0xFFFFFFFF)))]
     marks += [mark(subset(parts, k)) for parts, n in PARTS if parts > 1 for k in range(n)]
     return df.select(*[F.col(f"`{c}`") for c in names], F.array(*marks).alias(name))
 
@@ -114,15 +129,14 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], rows_a_block: int
     """df with next_<c> for each column, from the row that follows by id (after the last: the first).
 
     Rows are dealt to blocks of the id's range by quantiles that are ids themselves; the row that opens
-    a block is also a guest of the block before, so no window goes beyond a block. Ties of the id are
-    ordered by the columns; null ids come first.
+    a block is also a guest of the block before, so no window goes beyond a block. There are BLOCKS at the most, as
+    their bounds are a literal; larger ones are sorted with spill, and a window holds a row ahead only. Ties of the
+    id are ordered by the columns; null ids come first.
     """
-    from pyspark.sql import Window
-
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     df = df.withColumn("__key", key)
     n = df.count() if n is None else n
-    blocks = min(10_000, max(1, n // rows_a_block))
+    blocks = min(BLOCKS, max(1, n // rows_a_block))
     ends = df.agg(F.min("__key").alias("lo")).first()
     if ends.lo is None:
         return df.drop("__key").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
@@ -147,16 +161,14 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     terms. Repeated ids are ordered by their texts. Other columns are not read.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked, bits = fingerprint(named, "text", band)
+    marked, words = fingerprint(named, "text", band)
     near = with_next(marked, "doc_id", ["text", "marks"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    near = with_marks(near.withColumn("edited", edited), F.col("edited"), bits, "edited_marks")
+    near = with_marks(near.withColumn("edited", edited), F.col("edited"), words, "edited_marks")
     return near.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("marks")).alias("fingerprint"), text_of(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
 
 
 def query(spark, sf_dir):
     return compare_next(table(spark, sf_dir, "documents"))
-
-

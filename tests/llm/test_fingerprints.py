@@ -1,5 +1,8 @@
 import hashlib
 
+import regex
+import xxhash
+
 from skinnyla.llm import fingerprints
 
 
@@ -29,6 +32,55 @@ def test_edited_texts_and_equal_fingerprints(spark):
     assert sum(r.near_edited > r.near_next for r in got) > 0.8 * len(got)
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hash_of(*longs, seed=42):
+    for x in longs:
+        seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
+    return seed
+
+
+def plain_marks(texts, edited, band=fingerprints.BAND):
+    """Components of texts and of edited texts by counting terms in a dictionary."""
+    terms = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    count = {}
+    for t in texts:
+        for x in terms(t):
+            count[x] = count.get(x, 0) + 1
+    lexicon = {x for x, c in count.items() if max(2, band[0] * len(texts)) <= c <= max(3, band[1] * len(texts))}
+
+    def marks(t):
+        every = sorted(terms(t))
+        own = [x for x in every if x in lexicon]
+        part = lambda x, parts: xxhash.xxh64_intdigest(parts.to_bytes(4, "little"), hash_of(x))
+        out = [hash_of(*(own or every)) & 0xFFFFFFFF]
+        for parts, n in fingerprints.PARTS[1:]:
+            dealt = [(signed(part(x, parts)) % parts, x) for x in own]
+            for k in range(n):
+                mine = [x for p, x in dealt if p == k]
+                out.append(hash_of(*mine) & 0xFFFFFFFF if mine else None)
+        return out
+
+    return [marks(t) for t in texts], [marks(t) for t in edited]
+
+
+def test_fingerprints_and_likeness_equal_plain_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    texts = [t for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    own, other = plain_marks(texts, edited)
+    text_of = lambda m: "".join(f"{x:08X}" if x is not None else "-" for x in m)
+    like = lambda a, b: sum(x == y and x is not None for x, y in zip(a, b, strict=True)) / sum(x is not None or y is not None for x, y in zip(a, b, strict=True))
+    got = {r.doc_id: r for r in fingerprints.query(spark, sf).collect()}
+    for k, (i, _) in enumerate(rows):
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (text_of(own[k]), text_of(other[k]))
+        assert abs(r.near_edited - like(own[k], other[k])) < 1e-12 and abs(r.near_next - like(own[k], own[(k + 1) % len(rows)])) < 1e-12
+
+
 def test_blocks_and_ties(spark):
     rows = [(i * i % 997, f"text number {i} " * (i % 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
