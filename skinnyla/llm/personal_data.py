@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Container, Set
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -148,15 +148,51 @@ def norm(gap: str) -> str:
     return " ".join(f".{gap}.".split())[1:-1]
 
 
-def in_contexts(text: str, seeds: dict[int, int] | None = None, learned: Set[str] | None = None, words: Container[str] | None = None):
+class Contexts:
+    """A set of contexts by the words before a token, from which contexts can be left out."""
+
+    def __init__(self, patterns: Iterable[str]):
+        self.left, self.one, self.two, self.words = set(patterns), Counter(), Counter(), Counter()
+        for p in self.left:
+            self.count(p, 1)
+        self.few = [w for w in self.words if w.isascii()] if len(self.words) <= 32 else []
+        self.few = self.few if len(self.few) == len(self.words) else []
+
+    def __contains__(self, pattern: str) -> bool:
+        return pattern in self.left
+
+    def count(self, pattern: str, by: int) -> None:
+        kind, _, rest = pattern.partition(":")
+        parts = rest.split("\t")
+        word = parts[2 if kind == "two" else 0]
+        for held, key in ((self.words, word), (self.two, (parts[0], word)) if kind == "two" else (self.one, word)):
+            held[key] += by
+            if not held[key]:
+                del held[key]
+
+    def discard(self, pattern: str) -> None:
+        self.left.discard(pattern)
+        self.count(pattern, -1)
+
+    def places(self, low: list[str]) -> list[int]:
+        """The pieces behind the words of a context."""
+        words, one, two = self.words, self.one, self.two
+        return [i for i in range(1, len(low)) if (w := low[i - 1]) in words and (w in one or (low[i - 2] if i > 1 else "", w) in two)]
+
+
+def in_contexts(text: str, seeds: dict[int, int] | None = None, learned: Contexts | None = None):
     """Tokens and their contexts: (start, end, seed, patterns).
 
     seeds: ends of the text's base matches and secrets by their starts. With learned, tokens in one of these
-    contexts (words: the words that stand before a token in any), else seeds only, in all their contexts.
+    contexts, else seeds only, in all their contexts.
     """
+    if learned is not None and learned.few:
+        whole = text.lower()
+        if not any(w in whole for w in learned.few):
+            return
     pieces = PIECE.findall(text)
     low = [p.lower() for p, _ in pieces]
-    at = [i for i in range(1, len(low)) if low[i - 1] in words] if learned is not None else range(1, len(low))
+    at = learned.places(low) if learned is not None else range(1, len(low))
     if not at:
         return
     if seeds is None:
@@ -204,12 +240,6 @@ def in_contexts(text: str, seeds: dict[int, int] | None = None, learned: Set[str
             yield start, end, seed, patterns
 
 
-def word_of(pattern: str) -> str:
-    """The word that stands before a token in the context."""
-    kind, _, rest = pattern.partition(":")
-    return rest.split("\t")[2 if kind == "two" else 0]
-
-
 def seeds_of(text: str) -> dict[int, int]:
     """Ends of base matches and of the other seeds by their starts, the longest at each."""
     spans = base_spans(text)
@@ -248,11 +278,11 @@ def tokens_in(docs: DataFrame, learned: frozenset[str], id_col: str, text_col: s
     """(text_key, start, end, instance, seed, patterns) of the tokens in learned contexts."""
 
     def run(rows):
-        words = frozenset(map(word_of, learned))
+        contexts = Contexts(learned)
         for b in batches(rows):
             key, out = [], []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for s, e, seed, p in in_contexts(text or "", None, learned, words):
+                for s, e, seed, p in in_contexts(text or "", None, contexts):
                     key.append(k)
                     out.append((s, e, instance_of(text[s:e]), seed, p))
             columns = zip(*out, strict=True) if out else [[]] * 5
@@ -284,23 +314,17 @@ def crowded(docs: DataFrame, seeds: dict[str, int], text_col: str) -> frozenset[
 
     def run(rows):
         seen: dict[str, set[int]] = {p: set() for p in seeds}
-        left = set(seeds)
-        words = Counter(map(word_of, left))
+        left = Contexts(seeds)
         for b in batches(rows):
             for text in b.column(0).to_pylist():
-                for s, e, _, patterns in in_contexts(text or "", None, left, words):
+                for s, e, _, patterns in in_contexts(text or "", None, left):
                     i = instance_of(text[s:e])
                     for p in patterns:
-                        if p not in left:
-                            continue
-                        seen[p].add(i)
-                        if len(seen[p]) * SEED_SHARE > seeds[p]:
-                            left.discard(p)
-                            seen[p].clear()
-                            if words[w := word_of(p)] > 1:
-                                words[w] -= 1
-                            else:
-                                del words[w]
+                        if p in left:
+                            seen[p].add(i)
+                            if len(seen[p]) * SEED_SHARE > seeds[p]:
+                                left.discard(p)
+                                seen[p].clear()
         out = [(p, i) for p, own in seen.items() for i in (own if p in left else (None,))]
         for k in range(0, len(out), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 100_000], strict=True), (pa.string(), pa.int64()), strict=True)], names=["pattern", "instance"])

@@ -69,15 +69,15 @@ def plain_scores(rows, threshold=0.8, rounds=3, least=3):
             for p in ps:
                 induced.setdefault(p, set()).add(text[s:e])
     seeds = {p: x for p, x in induced.items() if len(x) >= least}
-    words, held = {pd_.word_of(p) for p in seeds}, {}
+    held = {}
     for text in rows:
-        for s, e, _, ps in pd_.in_contexts(text, None, seeds.keys(), words):
+        for s, e, _, ps in pd_.in_contexts(text, None, pd_.Contexts(seeds)):
             for p in ps:
                 held.setdefault(p, set()).add(text[s:e])
     learned = {p for p in seeds if len(seeds[p]) >= pd_.SEED_SHARE * len(held[p])}
     every = [(i, s, e, t, seed, ps) for i, x in found.items() for s, e, t, seed, _, ps in x]
     for i, text in enumerate(rows):
-        every += [(i, s, e, text[s:e], seed, ps) for s, e, seed, ps in pd_.in_contexts(text, None, learned, {pd_.word_of(p) for p in learned})]
+        every += [(i, s, e, text[s:e], seed, ps) for s, e, seed, ps in pd_.in_contexts(text, None, pd_.Contexts(learned))]
     graph = {}
     for _, _, _, t, seed, ps in every:
         for p in ps:
