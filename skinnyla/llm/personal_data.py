@@ -152,11 +152,10 @@ class Contexts:
     """A set of contexts by the words before a token, from which contexts can be left out."""
 
     def __init__(self, patterns: Iterable[str]):
-        self.left, self.one, self.two, self.words = set(patterns), Counter(), Counter(), Counter()
+        self.left, self.words, self.one, self.others = set(patterns), Counter(), Counter(), {"two": {}, "both": {}}
         for p in self.left:
             self.count(p, 1)
-        self.few = [w for w in self.words if w.isascii()] if len(self.words) <= 32 else []
-        self.few = self.few if len(self.few) == len(self.words) else []
+        self.skips = len(self.words) <= 64 and all(map(str.isascii, self.left))
 
     def __contains__(self, pattern: str) -> bool:
         return pattern in self.left
@@ -165,7 +164,8 @@ class Contexts:
         kind, _, rest = pattern.partition(":")
         parts = rest.split("\t")
         word = parts[2 if kind == "two" else 0]
-        for held, key in ((self.words, word), (self.two, (parts[0], word)) if kind == "two" else (self.one, word)):
+        changes = [(self.words, word), (self.one, word)] if kind == "one" else [(self.words, word), (self.others[kind].setdefault(word, Counter()), parts[0 if kind == "two" else -1])]
+        for held, key in changes:
             held[key] += by
             if not held[key]:
                 del held[key]
@@ -174,10 +174,28 @@ class Contexts:
         self.left.discard(pattern)
         self.count(pattern, -1)
 
-    def places(self, low: list[str]) -> list[int]:
-        """The pieces behind the words of a context."""
-        words, one, two = self.words, self.one, self.two
-        return [i for i in range(1, len(low)) if (w := low[i - 1]) in words and (w in one or (low[i - 2] if i > 1 else "", w) in two)]
+    def absent(self, text: str) -> bool:
+        """Whether the text surely has no context: all contexts are few and plain, and the words of none are in it."""
+        if not self.skips:
+            return False
+        low = text.lower()
+        return not any(w in low and (w in self.one or any(x in low for own in self.others.values() for x in own.get(w, ()))) for w in self.words)
+
+    def places(self, low: list[str], pieces: list[tuple[str, str]]) -> list[int]:
+        """The pieces behind the words of a context, without most that cannot be in one."""
+        words, one, two, both = self.words, self.one, self.others["two"], self.others["both"]
+        return [
+            i
+            for i in range(1, len(low))
+            if (w := low[i - 1]) in words
+            and (w in one or (low[i - 2] if i > 1 else "") in two.get(w, ()) or w in both and may_precede(i, low, pieces, both[w]))
+        ]
+
+
+def may_precede(i: int, low: list[str], pieces: list[tuple[str, str]], words: Counter[str]) -> bool:
+    """Whether one of the words may stand behind a token that begins in piece i: it is the next piece or what is left of
+    this one, unless the token is quoted or a number, which may be longer."""
+    return i + 1 < len(low) and low[i + 1] in words or pieces[i - 1][1][-1:] in QUOTED or HAS_DIGIT(low[i]) is not None or any(low[i].endswith(w) for w in words if not w[0].isalnum())
 
 
 def in_contexts(text: str, seeds: dict[int, int] | None = None, learned: Contexts | None = None):
@@ -186,13 +204,11 @@ def in_contexts(text: str, seeds: dict[int, int] | None = None, learned: Context
     seeds: ends of the text's base matches and secrets by their starts. With learned, tokens in one of these
     contexts, else seeds only, in all their contexts.
     """
-    if learned is not None and learned.few:
-        whole = text.lower()
-        if not any(w in whole for w in learned.few):
-            return
+    if learned is not None and learned.absent(text):
+        return
     pieces = PIECE.findall(text)
     low = [p.lower() for p, _ in pieces]
-    at = learned.places(low) if learned is not None else range(1, len(low))
+    at = learned.places(low, pieces) if learned is not None else range(1, len(low))
     if not at:
         return
     if seeds is None:
