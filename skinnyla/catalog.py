@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skinnyla.functions.hashing import SEED, murmur64, murmur64_bytes
+from skinnyla.functions.hashing import SEED, murmur64, murmur64_texts
 from skinnyla.functions.kernels import symmetric_eigen
 from skinnyla.functions.scalar import block_of, dround, outer_key
-from skinnyla.operators import diagnostics, grouped, qr, relational, ssvd
+from skinnyla.operators import diagnostics, grouped, qr, relational, sparse, ssvd
 from skinnyla.session import new_path, table
 from skinnyla.sources import matrices as mx
 
@@ -173,7 +173,7 @@ def q_murmur64(spark, d):
 def q_murmur64_bytes(spark, d):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([murmur64_bytes((x or "").encode()) for x in b.column(0).to_pylist()], pa.int64())], names=["name", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(murmur64_texts([(x or "").encode() for x in b.column(0).to_pylist()]))], names=["name", "h"])
 
     return table(spark, d, "part").select(F.col("p_name").alias("name")).mapInArrow(run, "name string, h long")
 
@@ -256,8 +256,10 @@ def q_sketch_sparse(spark, d):
 
 
 def q_tsqr_level1(spark, d):
-    m = line2(spark, d)
-    return qr.level1(m.rows, 2, 0, False, 1 << 20).select("group_id", "r")
+    """What the local factors add up to, whatever the chunks: the roots of the sum of R^T R, which is A^T A."""
+    factors = qr.level1(line2(spark, d).rows, 2, 0, False, 1 << 20).where("r is not null")
+    rows = factors.select(F.explode(F.array(F.slice("r", 1, 2), F.slice("r", 3, 2))).alias("v"))
+    return relational.gram(rows).select("i", "j", F.round(F.sqrt("val"), 4).alias("val"))
 
 
 def q_tsqr_r(spark, d):
@@ -300,7 +302,37 @@ def svd2(spark, d, q=0):
 def q_ssvd_range_q(spark, d):
     m = line_ints(spark, d)
     w = ssvd.omega(4, 3)
-    return spread(qr.tsqr(m, "4,1", True, transform=lambda x: x @ w, width=3).q(), "q", 3, 9, "q")
+    return spread(qr.tsqr(m, "4,1", True, transform=lambda x: x @ w, width=3).q(), "q", 3, 8, "q")
+
+
+def narrow(spark, d):
+    """Rank 1 of 64 columns by a sketch of 2, with a power iteration: no singular value is exact."""
+    return ssvd.ssvd(mx.from_array(table(spark, d, "embeddings"), "embedding", "vec_id"), 1, 1, 1)
+
+
+def q_ssvd_narrow_sigma(spark, d):
+    return rounded(narrow(spark, d).sigma_frame(spark), 8, "sigma")
+
+
+def q_ssvd_narrow_v(spark, d):
+    return spread(narrow(spark, d).v(spark), "v", 1, 8, "v")
+
+
+def q_ssvd_narrow_u(spark, d):
+    return spread(narrow(spark, d).u(), "u", 1, 8, "u")
+
+
+def sparse_svd(spark, d):
+    """Lines by their discount and tax, of which many are 0, as elements."""
+    return ssvd.ssvd(sparse.from_elements(line_ints(spark, d).coo().where("col_id in (1, 2)").withColumn("col_id", F.col("col_id") - 1), 2), 2, 5)
+
+
+def q_sparse_ssvd_sigma(spark, d):
+    return rounded(sparse_svd(spark, d).sigma_frame(spark), 6, "sigma")
+
+
+def q_sparse_ssvd_v(spark, d):
+    return spread(sparse_svd(spark, d).v(spark), "v", 2, 8, "v")
 
 
 def q_ssvd_sigma(spark, d):
@@ -337,13 +369,14 @@ def q_ssvd_embeddings(spark, d):
 
 
 def q_gen_upper_r(spark, d):
-    return mx.random_upper(spark, 5, 20)
+    cells = mx.random_upper(spark, 5, 20).select("key", F.posexplode("data").alias("at", "val"))
+    return cells.select("key", F.floor(F.col("at") / 5).cast("int").alias("i"), (F.col("at") % 5).alias("j"), F.round("val", 12).alias("val"))
 
 
 def q_qreduce_tree(spark, d):
     factors = mx.random_upper(spark, 5, 40).select(F.col("key").cast("long").alias("group_id"), F.col("data").alias("r"))
     r = qr.reduce_tree(factors, 5, "4,1")
-    return spark.createDataFrame([(i, j, float(r[i, j])) for i in range(5) for j in range(i, 5)], "i int, j int, val double")
+    return spark.createDataFrame([(i, j, round(float(r[i, j]), 9) + 0.0) for i in range(5) for j in range(i, 5)], "i int, j int, val double")
 
 
 def q_dump_matrix(spark, d):
@@ -404,8 +437,63 @@ def gemm_sql(a: str, b: str) -> str:
     return f"WITH a AS (SELECT {a}, count(*) AS x FROM lineitem GROUP BY ALL), b AS (SELECT {b}, count(*) AS y FROM lineitem GROUP BY ALL) SELECT i::INT AS i, j::INT AS j, CAST(sum(x * y) AS BIGINT) AS val FROM a JOIN b USING (k) GROUP BY i, j"
 
 
+def murmur_text_sql(column: str, table_: str) -> str:
+    """SELECT of a text column as name and the hash of its bytes as h."""
+    m = "14313749767032793493::UHUGEINT"
+    u = lambda x: wrap(f"({x})::UHUGEINT * {m}")
+    return f"""WITH t AS (SELECT {column} AS name, hex(encode(coalesce({column}, ''))) AS x FROM {table_}),
+w AS (SELECT name, x, len(x) // 2 AS n, list_transform(range(0, len(x) // 16), lambda i: {u("('0x' || substr(x, (16 * i + 1)::BIGINT, 16))::UBIGINT")}) AS k FROM t),
+k AS (SELECT name, x, n, list_transform(k, lambda y: {u("xor(y, y >> 47)")}) AS k FROM w),
+h AS (SELECT name, x, n, list_reduce(k, lambda a, y: {u("xor(a, y)")}, xor({SEED & (1 << 64) - 1}::UBIGINT, {wrap(f"n::UHUGEINT * {m}")})) AS h FROM k),
+r AS (SELECT name, CASE WHEN n % 8 = 0 THEN h ELSE {u("xor(h, ('0x' || substr(x, (n // 8 * 16 + 1)::BIGINT))::UBIGINT)")} END AS h FROM h),
+f AS (SELECT name, {u("xor(h, h >> 47)")} AS h FROM r), e AS (SELECT name, xor(h, h >> 47) AS h FROM f)
+SELECT name, CASE WHEN h >= 9223372036854775808::UBIGINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS h FROM e"""
+
+
+def ortho_sql(source: str, out: str, columns: int) -> str:
+    """CTEs that make out(row_id, q0..) of source(row_id, y0..) by orthogonalising one column after another."""
+    steps, have = [], source
+    for j in range(columns):
+        rest = "".join(f", y{k}" for k in range(j + 1, columns))
+        steps.append(f"{out}n{j} AS (SELECT sqrt(sum(y{j} * y{j})) AS r{''.join(f', sum(y{j} * y{k}) AS d{k}' for k in range(j + 1, columns))} FROM {have})")
+        done = "".join(f", q{k}" for k in range(j))
+        left = "".join(f", y{k} - y{j} * d{k} / (r * r) AS y{k}" for k in range(j + 1, columns))
+        steps.append(f"{out if j == columns - 1 else f'{out}{j}'} AS MATERIALIZED (SELECT row_id{done}, y{j} / r AS q{j}{left} FROM {have}, {out}n{j})")
+        have = f"{out}{j}"
+    return ", ".join(steps)
+
+
+def narrow_sql(select: str) -> str:
+    """The stochastic SVD of narrow(), step by step; e holds the spectrum of B B^T."""
+    a = "l AS MATERIALIZED (SELECT vec_id AS row_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+    w0 = f"w0 AS MATERIALIZED (SELECT i, {omega_sql('i', '0')} AS w0, {omega_sql('i', '1')} AS w1 FROM range(64) a(i))"
+    steps = [a, w0]
+    for k in range(2):
+        steps.append(f"y{k} AS MATERIALIZED (SELECT row_id, sum(x * w0) AS y0, sum(x * w1) AS y1 FROM l JOIN w{k} USING (i) GROUP BY row_id)")
+        steps.append(ortho_sql(f"y{k}", f"q{k}", 2))
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT i, sum(x * q0) AS w0, sum(x * q1) AS w1 FROM l JOIN q{k} USING (row_id) GROUP BY i)")
+    steps.append("g AS (SELECT sum(w0 * w0) AS aa, sum(w0 * w1) AS ab, sum(w1 * w1) AS bb FROM w2)")
+    steps.append("e0 AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ^ 2 + ab * ab) AS w FROM g)")
+    steps.append("e AS (SELECT sqrt(w) AS s, ab / sqrt(ab * ab + (w - aa) ^ 2) AS x, (w - aa) / sqrt(ab * ab + (w - aa) ^ 2) AS y FROM e0)")
+    steps.append("v0 AS (SELECT i, (w0 * x + w1 * y) / s AS v FROM w2, e)")
+    steps.append("f AS (SELECT CASE WHEN arg_max(v, abs(v)) < 0 THEN -1.0 ELSE 1.0 END AS f FROM v0)")
+    return f"WITH {', '.join(steps)} {select}"
+
+
+SPARSE_EIGEN = "g AS (SELECT sum(c1 * c1)::DOUBLE AS aa, sum(c1 * c2)::DOUBLE AS ab, sum(c2 * c2)::DOUBLE AS bb FROM s), w AS (SELECT *" + EIGEN.split("w AS (SELECT *", 1)[1]
+SPARSE_VECTORS = SPARSE_EIGEN + ", v AS (SELECT s0, s1," + VECTORS.split(", v AS (SELECT s0, s1,", 1)[1]
 QTB = f"WITH {PART}, c AS (SELECT sum(p_size * p_partkey::DOUBLE) AS a0, sum(p_size * (p_size + 1)::DOUBLE) AS a1, sum(p_retailprice * p_partkey) AS b0, sum(p_retailprice * (p_size + 1)) AS b1 FROM part)"
 ORACLE = {
+    "murmur64_bytes": murmur_text_sql("p_name", "part"),
+    "tsqr_level1": "WITH g AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_extendedprice) AS ab, sum(l_extendedprice * l_extendedprice) AS bb FROM lineitem) SELECT 0 AS i, 0 AS j, round(sqrt(aa), 4) AS val FROM g UNION ALL SELECT 0, 1, round(sqrt(ab), 4) FROM g UNION ALL SELECT 1, 1, round(sqrt(bb), 4) FROM g",
+    "ssvd_range_q": sketch_sql(f", z AS MATERIALIZED (SELECT row_id, sum(y) FILTER (j = 0) AS y0, sum(y) FILTER (j = 1) AS y1, sum(y) FILTER (j = 2) AS y2 FROM y GROUP BY row_id), {ortho_sql('z', 'q', 3)} SELECT row_id, " + ", ".join(f"round(q{k}, 8) + 0.0 AS q{k}" for k in range(3)) + " FROM q"),
+    "ssvd_narrow_sigma": narrow_sql("SELECT 0 AS i, round(s, 8) + 0.0 AS sigma FROM e"),
+    "ssvd_narrow_v": narrow_sql("SELECT i::INT AS col_id, round(v * f, 8) + 0.0 AS v0 FROM v0, f"),
+    "ssvd_narrow_u": narrow_sql("SELECT row_id, round((q0 * x + q1 * y) * f, 8) + 0.0 AS u0 FROM q1, e, f"),
+    "sparse_ssvd_sigma": f"WITH s AS ({SORTED}), {SPARSE_EIGEN} SELECT 0 AS i, round(s0, 6) AS sigma FROM e UNION ALL SELECT 1, round(s1, 6) FROM e",
+    "sparse_ssvd_v": f"WITH s AS ({SORTED}), {SPARSE_VECTORS} SELECT 0 AS col_id, round(v00, 8) + 0.0 AS v0, round(v01, 8) + 0.0 AS v1 FROM v UNION ALL SELECT 1, round(v10, 8) + 0.0, round(v11, 8) + 0.0 FROM v",
+    "gen_upper_r": f"SELECT k::INT AS key, i::INT AS i, j::INT AS j, CASE WHEN i <= j THEN round({omega_sql('i', 'j')} + 0.5, 12) ELSE 0.0 END AS val FROM range(20) z(k), range(5) a(i), range(5) b(j)",
+    "qreduce_tree": f"SELECT i::INT AS i, j::INT AS j, round(sqrt(40.0) * ({omega_sql('i', 'j')} + 0.5), 9) AS val FROM range(5) a(i), range(5) b(j) WHERE i <= j",
     "text_matrix_scan": SORTED,
     "infer_colsize": f"SELECT CAST(len(string_split(c0 || ' ' || c1 || ' ' || c2 || ' ' || c3, ' ')) AS INT) AS n FROM ({SORTED}) WHERE row_id = 0",
     "block_store_roundtrip": SORTED,

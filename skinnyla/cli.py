@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("-subRowSize", "--sub-rows", type=int, help="rows of a block; the number of columns if not given")
     common.add_argument("-reduceSchedule", "--schedule", default="1", help="groups of each tree level, the last 1: 4,1")
     common.add_argument("-mis", "--split-mb", type=int, default=64)
+    common.add_argument("-job1ReduceTasks", help="accepted, has no effect")
     qr = sub.add_parser("qr", parents=[common], help="R and Q")
     for flag, name in (("-job1", "--ingest"), ("-job2", "--factor"), ("-job3", "--build-q")):
         qr.add_argument(flag, name, type=truth, default=True)

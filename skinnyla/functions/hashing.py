@@ -47,6 +47,30 @@ def murmur64_bytes(data: bytes, seed: int = SEED) -> int:
     return _signed(h ^ h >> SHIFT)
 
 
+def murmur64_texts(texts: list[bytes], seed: int = SEED) -> np.ndarray:
+    """murmur64_bytes of many byte strings: those of one length are hashed together."""
+    m, r = np.uint64(MULTIPLIER), np.uint64(SHIFT)
+    out, lengths = np.zeros(len(texts), np.int64), np.array([len(x) for x in texts], np.int64)
+    for n in np.unique(lengths):
+        own = np.flatnonzero(lengths == n)
+        data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8).reshape(len(own), n)
+        whole = n // 8 * 8
+        words = np.ascontiguousarray(data[:, :whole]).view(">u8").astype(np.uint64).reshape(len(own), -1)
+        h = np.full(len(own), (seed ^ int(n) * MULTIPLIER) & _MASK, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in words.T:
+                k = k * m
+                h = (h ^ (k ^ (k >> r)) * m) * m
+            if whole < n:
+                rest = np.zeros(len(own), np.uint64)
+                for c in data[:, whole:].T:
+                    rest = rest << np.uint64(8) | c.astype(np.uint64)
+                h = (h ^ rest) * m
+            h = (h ^ (h >> r)) * m
+        out[own] = (h ^ (h >> r)).view(np.int64)
+    return out
+
+
 def omega(rows: int, columns: int, seed: int = SEED) -> np.ndarray:
     """rows x columns values in [-0.5, 0.5), each the hash of its two indexes."""
     key = np.arange(rows, dtype=np.int64)[:, None] << np.int64(32) | np.arange(columns, dtype=np.int64)[None]

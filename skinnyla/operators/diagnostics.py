@@ -13,7 +13,10 @@ from skinnyla.sources.matrices import Matrix
 
 
 def residual(a: Matrix, qr: QR, sub_rows: int | None = None) -> DataFrame:
-    """(block_id, mean_abs): the mean of ||A| - |QR|| over each block of rows, 0 if the factors are right."""
+    """(block_id, mean_abs): the mean of ||A| - |QR|| over each block of rows, 0 if the factors are right.
+
+    A row of A or Q whose id the other does not have is an error.
+    """
     n, r = a.columns, qr.matrix
 
     def run(batches):
@@ -22,7 +25,7 @@ def residual(a: Matrix, qr: QR, sub_rows: int | None = None) -> DataFrame:
                 gap = np.abs(np.abs(stack(b.column(1), n)) - np.abs(stack(b.column(2), n) @ r)).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gap)], names=["row_id", "gap"])
 
-    both = a.rows.join(qr.q(), "row_id").select("row_id", "v", "q").mapInArrow(run, "row_id long, gap double")
+    both = a.rows.join(qr.q(), "row_id", "full").select("row_id", "v", "q").mapInArrow(run, "row_id long, gap double")
     block = block_of(F.col("row_id"), a.rows.count(), sub_rows or n)
     return both.groupBy(block.alias("block_id")).agg((F.sum("gap") / (F.count("*") * n)).alias("mean_abs"))
 
@@ -51,3 +54,9 @@ def dump(blocks: DataFrame, key: str = "block_id", digits: int | None = None) ->
     line = lambda i: F.concat(F.array_join(F.transform(F.slice("data", i * F.col("n") + 1, F.col("n")), number), " "), F.lit(" "))
     lines = F.array_join(F.transform(F.sequence(F.lit(0), F.col("m") - 1), line), "\n")
     return blocks.select(key, F.concat(F.lit("key: "), F.col(key), F.lit("\nm "), F.col("m"), F.lit(", n "), F.col("n"), F.lit("\n"), lines).alias("text"))
+
+
+def write_residual(a: Matrix, qr: QR, path: str, sub_rows: int | None = None) -> None:
+    """The residuals as text: a block and its mean on each line, with a tab between."""
+    rows = residual(a, qr, sub_rows).orderBy("block_id")
+    rows.select(F.concat_ws("\t", F.col("block_id").cast("string"), F.col("mean_abs").cast("string")).alias("value")).write.mode("overwrite").text(path)

@@ -22,7 +22,7 @@ from skinnyla.plans.planner import group_rows, parse_schedule, schedule_for
 from skinnyla.session import cut
 from skinnyla.sources.matrices import Matrix
 
-LEVEL1 = "group_id long, row_ids array<long>, q array<double>, b array<double>, r array<double>"
+LEVEL1 = "group_id long, row_ids array<long>, q array<double>, b array<double>, r array<double>, rows long"
 #: Rows of a written Q block: small enough to be one row of a table, large enough for a matrix product.
 BLOCK_ROWS = 2048
 
@@ -43,23 +43,32 @@ def lists(parts: list[np.ndarray | None], kind: pa.DataType = pa.float64()) -> p
     return pa.array(parts, pa.list_(kind))
 
 
+NAMES = ["group_id", "row_ids", "q", "b", "r", "rows"]
+NO_ROWS = pa.nulls(1, pa.int64())
+
+
+def factor_row(group: int, r: np.ndarray, count: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group]), lists([None], pa.int64()), lists([None]), lists([None]), lists([flat(r)]), pa.array([count])], names=NAMES)
+
+
 def level1(rows: DataFrame, n: int, nb: int, keep_q: bool, chunk: int, transform=None) -> DataFrame:
     """Local factors of rows(row_id, v[, b]).
 
-    A chunk's R is a row of its own; with keep_q its Q comes in blocks, each with its rows' ids and b.
+    A chunk's R is a row of its own, beside the number of its rows; with keep_q its Q comes in blocks, each with its
+    rows' ids and b.
     transform maps v before it is factored; b is v then.
     """
 
-    def factor(group: int, ids: np.ndarray, a: np.ndarray, b: np.ndarray | None):
+    def factor(group: int, ids: np.ndarray, a: np.ndarray, b: np.ndarray | None, count: int):
         q, r = thin_qr(a)
-        yield pa.RecordBatch.from_arrays([pa.array([group]), lists([None], pa.int64()), lists([None]), lists([None]), lists([flat(r)])], names=["group_id", "row_ids", "q", "b", "r"])
+        yield factor_row(group, r, count)
         for s in range(0, len(ids) if keep_q else 0, BLOCK_ROWS):
             e = s + BLOCK_ROWS
-            yield pa.RecordBatch.from_arrays([pa.array([group]), lists([ids[s:e]], pa.int64()), lists([flat(q[s:e])]), lists([flat(b[s:e]) if b is not None else None]), lists([None])], names=["group_id", "row_ids", "q", "b", "r"])
+            yield pa.RecordBatch.from_arrays([pa.array([group]), lists([ids[s:e]], pa.int64()), lists([flat(q[s:e])]), lists([flat(b[s:e]) if b is not None else None]), lists([None]), NO_ROWS], names=NAMES)
 
     def run(batches):
         base, made, ids, mats, extra, held = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
-        running = np.zeros((0, n))
+        running, count = np.zeros((0, n)), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -67,18 +76,19 @@ def level1(rows: DataFrame, n: int, nb: int, keep_q: bool, chunk: int, transform
             a = transform(v) if transform else v
             if not keep_q:  # R alone needs no more than a batch in memory
                 running = thin_qr(np.vstack([running, a]))[1]
+                count += len(a)
                 continue
             ids.append(batch.column(0).to_numpy())
             mats.append(a)
             extra.append(v if transform else stack(batch.column(2), nb) if nb else None)
             held += len(a)
             if held >= chunk:
-                yield from factor(base + made, np.concatenate(ids), np.vstack(mats), np.vstack(extra) if nb else None)
+                yield from factor(base + made, np.concatenate(ids), np.vstack(mats), np.vstack(extra) if nb else None, held)
                 made, ids, mats, extra, held = made + 1, [], [], [], 0
         if held:
-            yield from factor(base + made, np.concatenate(ids), np.vstack(mats), np.vstack(extra) if nb else None)
+            yield from factor(base + made, np.concatenate(ids), np.vstack(mats), np.vstack(extra) if nb else None, held)
         if len(running):
-            yield from factor(base, np.zeros(0, np.int64), running, None)
+            yield factor_row(base, thin_qr(running)[1], count)
 
     return rows.mapInArrow(run, LEVEL1)
 
@@ -160,15 +170,19 @@ def tsqr(a: Matrix, schedule: str | list[int] | None = None, keep_q: bool = Fals
     payload = a.columns if transform else payload
     chunk = group_rows(n, payload, split_mb)
     written = cut(level1(a.rows, n, payload, keep_q, chunk, transform))
+    r, chain = factor_tree(written, n, schedule, keep_q, split_mb)
+    return QR(r, n, written.where("q is not null").select("group_id", "row_ids", "q", "b"), chain, payload) if keep_q else QR(r, n, None, None)
+
+
+def factor_tree(written: DataFrame, n: int, schedule: str | list[int] | None, keep_q: bool, split_mb: int) -> tuple[np.ndarray, DataFrame | None]:
+    """(R, chain) of level 1's rows: the tree over their factors, and with keep_q its slices folded for each chunk."""
+    spark = written.sparkSession
     own = written.where("r is not null").select("group_id", "r")
-    spark = a.rows.sparkSession
-    if keep_q:
-        rows = written.where("q is not null").agg(F.sum(F.size("row_ids"))).first()[0] or 0
-        if rows < n:
-            raise ValueError(f"a tall matrix is needed; this has {rows} rows and {n} columns")
-    count = own.count()
+    count, rows = written.where("r is not null").agg(F.count("*"), F.sum("rows")).first()
     if not count:
         raise ValueError("the matrix has no rows")
+    if rows < n:
+        raise ValueError(f"a tall matrix is needed; this has {rows} rows and {n} columns")
     levels = parse_schedule(schedule) or schedule_for(count, n, split_mb)
     merged = []
     for groups in levels:
@@ -178,7 +192,7 @@ def tsqr(a: Matrix, schedule: str | list[int] | None = None, keep_q: bool = Fals
     root = np.asarray(own.first().r).reshape(n, n)
     d, r = canonical(root)
     if not keep_q:
-        return QR(r, n, None, None)
+        return r, None
     chain = spark.createDataFrame([(0, flat(np.diag(d)).tolist())], "parent long, c array<double>")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,15 +202,20 @@ def tsqr(a: Matrix, schedule: str | list[int] | None = None, keep_q: bool = Fals
     for level in reversed(merged):
         joined = level.select("parent", "child", "f").join(chain, "parent").select("child", "f", "c")
         chain = joined.mapInPandas(lambda frames: map(fold, frames), "parent long, c array<double>")
-    chain = cut(chain.select(F.col("parent").alias("group_id"), "c"))
-    return QR(r, n, written.where("q is not null").select("group_id", "row_ids", "q", "b"), chain, payload)
+    return r, cut(chain.select(F.col("parent").alias("group_id"), "c"))
+
+
+def check_ids(a: Matrix, b: Matrix) -> None:
+    """An error unless a and b have the same row ids, each once. Only ids and counts are shuffled."""
+    ids = [m.rows.select("row_id", F.lit(i).alias("a"), F.lit(1 - i).alias("b")) for i, m in ((1, a), (0, b))]
+    odd = ids[0].unionByName(ids[1]).groupBy("row_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("row_id is null or a <> 1 or b <> 1").first()
+    if odd is not None:
+        raise ValueError(f"A has {odd.a} rows and B {odd.b} with the id {odd.row_id}; both need the same ids, each once")
 
 
 def qt_times(a: Matrix, b: Matrix, schedule: str | list[int] | None = None, split_mb: int = 64) -> QR:
-    """The QR of a with b carried along, for Q^T B. Both need the same rows, by id."""
-    n_a, n_b = a.rows.count(), b.rows.count()
-    if n_a != n_b:
-        raise ValueError(f"A has {n_a} rows and B {n_b}")
+    """The QR of a with b carried along, for Q^T B. Both need the same rows, by id, and each id once."""
+    check_ids(a, b)
     both = a.rows.join(b.rows.select("row_id", F.col("v").alias("b")), "row_id").select("row_id", "v", "b")
     return tsqr(Matrix(both, a.columns), schedule, True, split_mb, b.columns)
 

@@ -1,7 +1,9 @@
-"""Matrix algebra as joins and sums over (i, j, val) rows, for sparse matrices of any shape."""
+"""Matrix algebra as joins and sums over (i, j, val) rows, for sparse matrices of any shape, and products of dense rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,36 @@ def mirror(a: DataFrame) -> DataFrame:
     return a.unionByName(transpose(a.where("i < j")))
 
 
-def gram(rows: DataFrame, vector: str = "v") -> DataFrame:
-    """(i, j, val) of V^T V's upper triangle for rows of short arrays: self outer products, summed.
+def block_products(rows: DataFrame, left: str, right: str, names: tuple[str, str], upper_only: bool) -> DataFrame:
+    """Sums of left^T right over rows of two array columns: a product a batch, a matrix a task, summed by Spark.
 
-    Products are made within a row and pre-aggregated in each task, so only the sums are shuffled.
+    Columns of left that are 0 in all rows of a task give nothing there.
     """
-    left = rows.select(F.col(vector).alias("v"), F.posexplode(vector).alias("i", "x"))
-    both = left.select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    return both.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
+
+    def run(batches):
+        total = used = None
+        for b in batches:
+            if b.num_rows:
+                x, y = (c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) for c in b.columns)
+                used = (x != 0).any(axis=0) if used is None else used | (x != 0).any(axis=0)
+                total = x.T @ y if total is None else total + x.T @ y
+        if total is not None:
+            i, j = np.nonzero(np.triu(np.ones(total.shape, bool)) if upper_only else np.broadcast_to(used[:, None], total.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=[*names, "val"])
+
+    i, j = names
+    both = rows.select(F.col(left).cast("array<double>").alias("x"), F.col(right).cast("array<double>").alias("y"))
+    return both.mapInArrow(run, f"{i} int, {j} int, val double").groupBy(i, j).agg(F.sum("val").alias("val"))
+
+
+def gram(rows: DataFrame, vector: str = "v") -> DataFrame:
+    """(i, j, val) of V^T V's upper triangle for rows of arrays."""
+    return block_products(rows, vector, vector, ("i", "j"), True)
 
 
 def outer_sum(rows: DataFrame, left: str, right: str) -> DataFrame:
     """(col_id, s, val) of sum left^T right over rows: what each row adds to A^T Q."""
-    a = rows.select(F.col(right).alias("q"), F.posexplode(left).alias("col_id", "x")).where("x <> 0")
-    return a.select("col_id", "x", F.posexplode("q").alias("s", "y")).groupBy("col_id", "s").agg(F.sum(F.col("x") * F.col("y")).alias("val"))
+    return block_products(rows, left, right, ("col_id", "s"), False)
 
 
 def times_columns(coo: DataFrame, bt: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skinnyla.functions.hashing import SEED, omega
 from skinnyla.functions.kernels import symmetric_eigen
 from skinnyla.operators.qr import QR, stack, tsqr
+from skinnyla.operators.sparse import SparseMatrix, sketched
 from skinnyla.sources.matrices import Matrix
 
 
@@ -65,13 +66,19 @@ class SVD:
         m = self.v_matrix * np.sqrt(self.sigma) if half_sigma else self.v_matrix
         return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "col_id int, v array<double>")
 
+    def v_blocks(self, spark, height: int, half_sigma: bool = False) -> DataFrame:
+        """V in blocks of so many rows: (block_id, row_start, m, n, data)."""
+        m = self.v_matrix * np.sqrt(self.sigma) if half_sigma else self.v_matrix
+        rows = [(k // height, k, len(b), m.shape[1], b.ravel().tolist()) for k in range(0, len(m), height) for b in [m[k : k + height]]]
+        return spark.createDataFrame(rows, "block_id int, row_start long, m int, n int, data array<double>")
+
 
-def ssvd(a: Matrix, rank: int, oversampling: int = 15, power_iterations: int = 0, schedule: str | list[int] | None = None, split_mb: int = 64, seed: int = SEED) -> SVD:
+def ssvd(a: Matrix | SparseMatrix, rank: int, oversampling: int = 15, power_iterations: int = 0, schedule: str | list[int] | None = None, split_mb: int = 64, seed: int = SEED) -> SVD:
     """A ~ U S V^T with the rank largest singular values, in descending order.
 
     The sketch is no wider than the matrix. V's columns have a positive entry of largest size. A singular
     value of 0 (a matrix of lower rank) has zeros for its vectors, not NaN. Each pass reads A once: the
-    sketch, its QR and the product with A's rows share it.
+    sketch, its QR and the product with A's rows share it. Sparse rows stay sparse.
     """
     if rank < 1 or rank > a.columns:
         raise ValueError(f"the rank must lie between 1 and {a.columns}")
@@ -81,7 +88,10 @@ def ssvd(a: Matrix, rank: int, oversampling: int = 15, power_iterations: int = 0
     kp = min(rank + oversampling, a.columns, m)
     right = omega(a.columns, kp, seed)
     for _ in range(power_iterations + 1):
-        qr = tsqr(Matrix(a.rows.select("row_id", "v"), a.columns), schedule, True, split_mb, transform=lambda x, w=right: x @ w, width=kp)
+        if isinstance(a, SparseMatrix):
+            qr = sketched(a, right, schedule, split_mb)
+        else:
+            qr = tsqr(Matrix(a.rows.select("row_id", "v"), a.columns), schedule, True, split_mb, transform=lambda x, w=right: x @ w, width=kp)
         bt = qr.qt_b_matrix().T  # columns x kp
         right = bt
     values, vectors = symmetric_eigen(bt.T @ bt)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skinnyla.functions.hashing import SEED, omega
 from skinnyla.functions.scalar import block_of, parse_row
 from skinnyla.plans.planner import check_sub_rows
 from skinnyla.session import cut, reachable
@@ -131,7 +133,7 @@ def read_blocks(spark: SparkSession, path: str) -> Matrix:
     return Matrix(rows.select((F.col("row_start") + F.col("i")).alias("row_id"), F.slice("data", F.col("i") * F.col("n") + 1, F.col("n")).alias("v")), n)
 
 
-def random_upper(spark: SparkSession, size: int, number: int, seed: int = 0) -> DataFrame:
-    """number blocks (key, m, n, data), each the same random upper-triangular matrix."""
-    cells = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda x: F.when(F.floor(x / size) <= x % size, F.pmod(F.xxhash64(x, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).otherwise(0.0))
-    return spark.range(number).select(F.col("id").cast("int").alias("key"), F.lit(size).alias("m"), F.lit(size).alias("n"), cells.alias("data"))
+def random_upper(spark: SparkSession, size: int, number: int, seed: int = SEED) -> DataFrame:
+    """number blocks (key, m, n, data), each the same random upper-triangular matrix of values in [0, 1)."""
+    data = F.array(*[F.lit(float(x)) for x in np.triu(omega(size, size, seed) + 0.5).ravel()])
+    return spark.range(number).select(F.col("id").cast("int").alias("key"), F.lit(size).alias("m"), F.lit(size).alias("n"), data.alias("data"))

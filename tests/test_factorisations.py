@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from skinnyla.functions.hashing import omega
-from skinnyla.operators import diagnostics, grouped, relational
+from skinnyla.operators import diagnostics, grouped, relational, sparse
 from skinnyla.operators.qr import qt_times, reduce_tree, tsqr
 from skinnyla.operators.ssvd import sketch_sparse, ssvd
 from skinnyla.sources import matrices as mx
@@ -136,3 +136,73 @@ def test_grouped_and_tree(spark):
     f = mx.random_upper(spark, 3, 10).selectExpr("cast(key as long) group_id", "data r")
     one = np.array(f.first().r).reshape(3, 3)
     assert np.allclose(reduce_tree(f, 3, "4,1"), one * np.sqrt(10))
+
+
+def test_rows_that_do_not_match_are_errors(spark):
+    a = np.random.default_rng(7).normal(size=(10, 2))
+    m = matrix(spark, a)
+    shifted = mx.Matrix(m.rows.selectExpr("row_id + 1 AS row_id", "v"), 2)
+    twice = mx.Matrix(m.rows.selectExpr("CASE WHEN row_id = 3 THEN 2 ELSE row_id END AS row_id", "v"), 2)
+    for x, y in ((m, shifted), (shifted, m), (m, twice), (twice, m), (twice, twice)):
+        with pytest.raises(ValueError, match="the same ids"):
+            qt_times(x, y)
+    with pytest.raises(Exception, match="does not hold 2 numbers"):
+        diagnostics.residual(shifted, tsqr(m, keep_q=True)).collect()
+    for keep_q in (False, True):
+        with pytest.raises(ValueError, match="tall"):
+            tsqr(matrix(spark, np.ones((2, 3))), keep_q=keep_q)
+        with pytest.raises(ValueError, match="no rows"):
+            tsqr(mx.Matrix(m.rows.limit(0), 2), keep_q=keep_q)
+
+
+@pytest.mark.parametrize("passes", [0, 2])
+def test_sparse_rows_give_what_dense_rows_give(spark, passes):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(300, 40)) * (rng.random((300, 40)) < 0.1)
+    a[0] += 1e-3
+    elements = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    elements += [(5, 7, 2.0), (5, 7, -2.0), (301, 3, 0.0)]
+    frame = spark.createDataFrame(elements, "row_id long, col_id long, val double").repartition(5)
+    own = ssvd(sparse.from_elements(frame, 40), 3, 6, passes, "4,1")
+    full = a[np.abs(a).sum(axis=1) > 0]
+    want = ssvd(matrix(spark, full), 3, 6, passes)
+    assert np.allclose(own.sigma, want.sigma, rtol=1e-9) and np.allclose(own.v_matrix, want.v_matrix, atol=1e-8)
+    assert np.allclose(dense(own.u(), "u"), dense(want.u(), "u"), atol=1e-8)
+    right = omega(40, 9)
+    for _ in range(passes + 1):
+        right = full.T @ np.linalg.qr(full @ right)[0]
+    assert np.allclose(own.sigma, np.linalg.svd(right)[1][:3])
+    plan = own.qr.blocks
+    assert max(len(r.cols) for r in plan.select("cols").collect()) < 0.3 * full.size
+
+
+def test_sparse_errors_and_many_chunks(spark, monkeypatch):
+    with pytest.raises(Exception, match="not below 3"):
+        sparse.from_elements(spark.createDataFrame([(0, 3, 1.0)], "row_id long, col_id int, val double"), 3).rows.collect()
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(5000, 6)) * (rng.random((5000, 6)) < 0.5)
+    a[:, 0] = 1
+    monkeypatch.setattr(sparse, "group_rows", lambda *_: 700)
+    frame = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "row_id long, col_id int, val double")
+    qr = sparse.sketched(sparse.from_elements(frame, 6), np.eye(6), "3,1")
+    assert np.allclose(qr.qt_b_matrix(), qr.matrix, atol=1e-8) and np.allclose(dense(qr.q(), "q") @ qr.matrix, a, atol=1e-9)
+
+
+def test_products_of_blocks(spark):
+    a = np.random.default_rng(3).integers(-5, 6, (200, 4)).astype(float)
+    a[:, 2] = 0
+    rows = matrix(spark, a).rows.repartition(6).selectExpr("row_id", "v", "slice(v, 1, 2) AS q")
+    got = {(r.i, r.j): r.val for r in relational.gram(rows).collect()}
+    assert got == {(i, j): float(a[:, i] @ a[:, j]) for i in range(4) for j in range(i, 4)}
+    got = {(r.col_id, r.s): r.val for r in relational.outer_sum(rows, "v", "q").collect()}
+    assert got == {(i, j): float(a[:, i] @ a[:, j]) for i in (0, 1, 3) for j in range(2)}
+    assert relational.gram(rows.limit(0)).count() == 0
+
+
+def test_blocks_of_v_and_residuals_as_text(spark, sample, tmp_path):
+    svd = ssvd(sample, 2)
+    blocks = svd.v_blocks(spark, 2).orderBy("block_id").collect()
+    assert [b.m for b in blocks] == [2, 2, 1] and np.allclose(np.concatenate([np.reshape(b.data, (b.m, 2)) for b in blocks]), svd.v_matrix)
+    diagnostics.write_residual(sample, tsqr(sample, keep_q=True), f"{tmp_path}/residual", 30)
+    lines = [r.value.split("\t") for r in spark.read.text(f"{tmp_path}/residual").collect()]
+    assert sorted(int(k) for k, _ in lines) == [1, 2, 3] and all(float(x) < 1e-9 for _, x in lines)

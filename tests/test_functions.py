@@ -53,3 +53,9 @@ def test_planner():
             planner.parse_schedule(wrong)
     assert planner.schedule_for(3, 5) == [1] and planner.schedule_for(10_000, 5) == [157, 3, 1]
     assert planner.map_tasks(65 << 20, 64) == 2 and planner.check_split(64, 1 << 45, 4096, 8) > 64
+
+
+@given(st.lists(st.binary(max_size=40), max_size=20), st.integers(-(2**63), 2**63 - 1))
+@settings(deadline=None)
+def test_hashes_of_many_byte_strings(texts, seed):
+    assert hashing.murmur64_texts(texts, seed).tolist() == [hashing.murmur64_bytes(x, seed) for x in texts]
