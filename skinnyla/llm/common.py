@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skinnyla import session
 from skinnyla.session import cut, new_path, shared_dir
 
-__all__ = ["batches", "cut", "new_path", "per_worker", "release", "shared_dir", "small_batches", "table", "texts_of", "tokenizer_path", "utf8_buffer"]
+__all__ = ["batches", "cut", "new_path", "per_worker", "release", "shared_dir", "small_batches", "table", "texts_of", "tokenizer_path", "unused", "utf8_buffer"]
 
 
 def per_worker(name: str, key: object, make: Callable[[], object], _kept: list = []) -> object:  # noqa: B006
@@ -40,6 +40,14 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) else (data[:0], np.zeros(1, np.int64))
 
 
+def unused(columns: list[str]) -> str:
+    """A prefix that no column's name has, for columns of the operators' own beside those of a table."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

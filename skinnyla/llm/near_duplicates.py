@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skinnyla.llm.common import batches, cut, release, table, utf8_buffer
+from skinnyla.llm.common import batches, cut, release, table, unused, utf8_buffer
 from skinnyla.llm.components import connected_components
 
 WORDS = 5
@@ -422,10 +422,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRES
     """The rows of docs without those of a class beside the one with its smallest id."""
     signed, known = classes(docs, words, threshold, recall, id_col, text_col)
     rows = signed.select("node", "h1", "h2").join(known, ["h1", "h2"])
-    gone = cut(rows.where("node <> class_id").select(F.col("node").alias("__node")).distinct())
+    own = f"{unused(docs.columns)}node"
+    gone = cut(rows.where("node <> class_id").select(F.col("node").alias(own)).distinct())
     again = signed.groupBy("node").count().where(F.col("count") > 1).limit(1).count() > 0
-    kept = docs.withColumn("__node", node_of(id_col, text_col)).join(gone, "__node", "left_anti")
-    return (kept.dropDuplicates(["__node"]) if again else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.withColumn(own, node_of(id_col, text_col)).join(gone, own, "left_anti")
+    return (kept.dropDuplicates([own]) if again else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir):

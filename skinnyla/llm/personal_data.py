@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skinnyla.llm.common import batches, cut, table
+from skinnyla.llm.common import batches, cut, table, unused
 
 # The base patterns. Digit runs are matched possessively, with the same matches.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -411,8 +411,9 @@ def find(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds:
 def redact(docs: DataFrame, threshold: float = 0.8, rounds: int = 3, least_seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of its text replaced by its kind in brackets; null texts stay null."""
     added = discover(docs, cut(extract(docs, id_col, text_col)), threshold, rounds, least_seeds, id_col, text_col)
-    at, schema = docs.columns.index(text_col), docs.schema
-    joined = docs.withColumn("text_key", row_key(id_col, text_col)).join(added, "text_key", "left").drop("text_key")
+    at, schema, own = docs.columns.index(text_col), docs.schema, unused(docs.columns)
+    added = added.select(F.col("text_key").alias(f"{own}key"), F.col("added").alias(f"{own}added"))
+    joined = docs.withColumn(f"{own}key", row_key(id_col, text_col)).join(added, f"{own}key", "left").drop(f"{own}key")
 
     def run(rows):
         for b in batches(rows):
