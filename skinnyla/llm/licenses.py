@@ -47,13 +47,13 @@ WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def document_frequencies(docs: DataFrame, text_col: str, tokens: Sequence[str]) -> dict[str, int]:
-    """How many documents hold each token (as a substring, whatever the case), over all documents.
+    """How many documents hold each token as a word, over all documents.
 
-    One row is collected, with a number for each of the templates' tokens.
+    A row is collected for each of the templates' tokens.
     """
-    low = docs.select(F.lower(F.col(text_col)).alias("low"))
-    row = low.agg(*[F.sum(F.col("low").contains(t).cast("long")).alias(f"t{i}") for i, t in enumerate(tokens)]).first()
-    return {t: row[i] or 0 for i, t in enumerate(tokens)}
+    words = F.split(F.lower(F.col(text_col).cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    held = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, tokens)), words)).alias("t"))
+    return dict.fromkeys(tokens, 0) | {r.t: r.n for r in held.groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
 class Scanner:

@@ -83,3 +83,9 @@ def test_wrapped_notices(spark):
 def test_words_far_apart_are_no_notice(spark):
     text = "\n".join(f"{w} and other words of this long line by us all" for w in licenses.TEMPLATES[7][1].split())
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == ""
+
+
+def test_token_frequencies_count_words(spark):
+    texts = ["The MIT license", "mitre licensed", None, "", "mit, mit-license", "a b license"]
+    got = licenses.document_frequencies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", ["mit", "license", "nc"])
+    assert got == {"mit": 2, "license": 3, "nc": 0}
