@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skinnyla.llm.common import batches, cut, per_worker, table, texts_of, utf8_buffer
+from skinnyla.llm.common import batches, cut, per_worker, table, texts_of, unused, utf8_buffer
 from skinnyla.llm.near_duplicates import THRESHOLD, WORDS, signatures
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 DROPPED = ".-_*~'"
-#: Characters of the model: 0 the edge of a word, 1 to 26 letters, 27 any other letter (a byte from 0x80).
+#: Characters of the model: 0 the edge of a word, 1 to 26 letters, 27 any character beyond ASCII, by its first byte.
 SIZE = 28
 CLASS = np.zeros(256, np.int32)
 CLASS[0x61:0x7B] = CLASS[0x41:0x5B] = np.arange(1, 27)
@@ -47,8 +47,10 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         total = np.zeros(SIZE**3, np.int64)
         for b in batches(rows, 1 << 20):
             raw, offsets = utf8_buffer(b.column(0))
-            c = CLASS[raw]
-            c = np.insert(c, offsets[:-1], 0) if len(c) else c
+            whole = (raw & 0xC0) != 0x80  # bytes that begin a character
+            starts = np.concatenate([[0], np.cumsum(whole)])[offsets[:-1]]
+            c = CLASS[raw[whole]]
+            c = np.insert(c, starts, 0) if len(c) else c
             if len(c) > 2:
                 total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
         at = np.flatnonzero(total)
@@ -324,18 +326,18 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return named.where(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0)
 
 
-def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns of docs in keep and their score; a null text is empty."""
     costs, lexicon, curve = model
-    schema = docs.select(*keep).schema.add("score", "double")
-    at = len(keep)
+    names = [f"`{c}`" for c in keep]
+    schema, at = docs.select(*names).schema.add(score_col, "double"), len(keep)
 
     def run(rows):
         scorer = per_worker("scorer", (curve, lexicon), lambda: Scorer(costs, lexicon, curve))
         for b in batches(rows):
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([scorer(t) for t in texts_of(b.column(at))], pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text_col).cast("string").alias(f"{unused(docs.columns)}text")).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +355,8 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
 def clean(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
     model = fit(docs, training_labels(labels, id_col), most, id_col, text_col)
-    return score(docs, model, docs.columns, text_col).where("score < 0.5").drop("score")
+    own = f"{unused(docs.columns)}score"
+    return score(docs, model, docs.columns, text_col, own).where(F.col(own) < 0.5).drop(own)
 
 
 def query(spark, sf_dir):

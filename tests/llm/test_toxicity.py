@@ -78,3 +78,64 @@ def test_lexicon_words_inside_long_runs_count(costs):
     assert s.evidence(" ".join("the loser and the idiot but the clown was stupid and the moron was trash".replace(" ", ""))) == 5.0
     assert s.evidence("-".join("you are an idiot and a loser and a moron and a clown and more")) >= 5.0
     assert s.evidence("the-" * 20 + "1d10t") == 5.0 and s.evidence("videotape") == 0.0
+
+
+def test_trigrams_are_of_characters(spark):
+    texts = ["schön€", "", None, "aé", "日本"]
+    got = toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text")
+    whole, want = [], {}
+    for t in texts:
+        whole += [0] + [ord(c) - 96 if "a" <= c <= "z" else 27 if ord(c) > 127 else 0 for c in t or ""]
+    for a, b, c in zip(whole, whole[1:], whole[2:]):
+        k = (a * toxicity.SIZE + b) * toxicity.SIZE + c
+        want[k] = want.get(k, 0) + 1
+    assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == want
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Every path of a word's lattice is tried, nothing is kept between words."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    costs, lexicon, curve = model = toxicity.fit(docs, toxicity.training_labels(labels))
+    decoder, restorer = toxicity.Decoder(costs), toxicity.Restorer(costs)
+
+    def decode(word):
+        edges, paths = decoder.edges(word), [(0, "", 0.0)]
+        done = []
+        while paths:
+            at, text, channel = paths.pop()
+            if at == len(word):
+                codes = [0, 0, *map(toxicity.code, text), 0]
+                done.append((channel + sum(costs[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:])), text))
+            else:
+                paths += [(to, text + ch, channel + c) for to, ch, c in edges[at]]
+        least = min(done)[0]
+        return {text for cost, text in done if cost <= least + 1e-9}
+
+    def of(word):
+        own = [word] + [word[:n] + "^" for n in toxicity.BEGINNINGS if len(word) > n] if len(word) >= 3 else []
+        return max([lexicon.get(f, 0.0) for f in own], default=0.0)
+
+    seen = 0
+    rows = [r for r in docs.select("doc_id", "text").collect() if r.text and len(r.text) < 1500][:250]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for r in rows:
+        low, found = r.text.lower(), []
+        if restorer.spaced(low) or any(len(c) > 18 for c in low.split()):
+            continue
+        for chunk in set(low.split()):
+            w = toxicity.EDGE.sub("", chunk)
+            ways = decode(w) if toxicity.NOISY.search(w) else {w}
+            assert restorer.word(chunk) in ways
+            found.append(max(map(of, ways)) if len(ways) == 1 else of(restorer.word(chunk)))
+        found = sorted((x for x in found if x > 0), reverse=True)
+        evidence = found[0] + sum(found[1:4]) / 3 if found else 0.0
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(curve[0] * evidence + curve[1]))), abs=1e-12)
+        seen += 1
+    assert seen > 100
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", "x", 0.2, "y")], "doc_id long, text string, __text string, score double, __score string")
+    kept = toxicity.clean(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and kept.collect() == docs.collect()
