@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skinnyla.llm.common import cut, table
+from skinnyla.llm.common import cut, table, unused
 
 # Fixed value: what is no word character.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,7 +110,8 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """(src, shard, from, draws): the run of each source's draws that a shard gets.
 
     quotas: (src, draws). Each level splits every node's capacity in half and deals the node's quotas
-    to the halves, source by source. All draws are dealt, and shards' totals differ by one at most.
+    to the halves, source by source. All draws are dealt, and shards' totals differ by one at most. Nodes are
+    spread over tasks as there get to be many.
     """
     pair = F.struct("src", F.col("draws").cast("long").alias("draws"), F.lit(0).cast("long").alias("from"))
     node = quotas.agg(F.array_sort(F.collect_list(pair)).alias("own")).select(F.lit(0).cast("long").alias("node"), "own")
@@ -131,9 +132,28 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         right = F.zip_with("own", "left", lambda x, g: F.struct(x["src"].alias("src"), (x["draws"] - g).alias("draws"), (x["from"] + g).alias("from")))
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("own")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("own")))
         node = node.select(F.explode(halves).alias("half")).select("half.*")
+        if level % 5 == 4 and level + 1 < levels:
+            node = node.repartition(min(1024, 2 << level), "node")
     return node.select(F.col("node").alias("shard"), F.explode("own").alias("x")).select("x.src", "shard", "x.from", "x.draws").where("draws > 0")
 
 
+def in_order(blocks: DataFrame, seed: int, runs: int = 1024) -> DataFrame:
+    """blocks (src, block, words) with n_blocks of their source, and rank and words summed up to each in its permuted order.
+
+    The order is that of a hash. Its range is cut into runs: sums are made over a source's runs and within a
+    run, so no task orders all blocks of a source.
+    """
+    whole = Window.partitionBy("src")
+    b = blocks.withColumn("at", F.xxhash64(F.lit(seed), "src", "block"))
+    b = b.withColumn("run", F.shiftright("at", 64 - runs.bit_length() + 1))
+    of_run = b.groupBy("src", "run").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    earlier = whole.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    of_run = of_run.select("src", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("w_before"), F.sum("n").over(whole).alias("n_blocks"))
+    inner = Window.partitionBy("src", "run").orderBy("at", "block")
+    b = b.withColumn("place", F.row_number().over(inner) - 1).withColumn("within", F.sum("words").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return b.join(of_run, ["src", "run"]).select("src", "block", "words", (F.col("n_before") + F.col("place")).cast("long").alias("rank"), (F.col("w_before") + F.col("within")).alias("upto"), "n_blocks")
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, block_docs: int = 256, shard_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_docs: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(sized, draws, parts, blocks): what the mix takes.
 
@@ -147,9 +167,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0
     sized = cut(docs.select(*sized_columns(id_col, text_col, source_col, blocks, seed)))
     stats = cut(sized.groupBy("src", "block").agg(F.sum("size").alias("words")))
     aims = targets(stats.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share, most)
-    order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), "src", "block"), "block")
-    full = stats.where("words > 0").withColumn("rank", (F.row_number().over(order) - 1).cast("long")).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    full = full.withColumn("n_blocks", F.count("*").over(Window.partitionBy("src"))).join(aims, "src")
+    full = in_order(stats.where("words > 0"), seed).join(aims, "src")
     full = full.withColumn("passes", F.floor(F.col("target") / F.col("source_size")).cast("long"))
     full = full.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
     full = full.withColumn("before", F.col("upto") - F.col("words")).withColumn("some", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before"))))
@@ -197,19 +215,22 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.
     A document drawn in part keeps its first words. Documents without words are never drawn.
     """
     _, draws, parts, blocks = plan(docs, weights, share, most, seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    names = ["__key", "__doc", "__src", "__block", "__size"]
-    own = [c.alias(n) for c, n in zip(sized_columns(id_col, text_col, source_col, blocks, seed), names, strict=True)]
-    draws = draws.select(F.col("src").alias("__src"), F.col("block").alias("__block"), F.col("pass").alias("__pass"), F.col("shard").alias("__shard"), F.col("whole").alias("__whole"))
-    parts = parts.select(F.col("key").alias("__key"), F.col("part").alias("__part"))
-    rows = docs.select("*", *own).where("__size > 0").join(draws, ["__src", "__block"]).join(parts, "__key", "left")
+    own = unused(docs.columns)
+    key, src, block, size, pass_, shard, whole, part, at = (F.col(f"{own}{c}") for c in ("key", "src", "block", "size", "pass", "shard", "whole", "part", "at"))
+    made = sized_columns(id_col, text_col, source_col, blocks, seed)
+    made = [made[k].alias(f"{own}{c}") for k, c in ((0, "key"), (2, "src"), (3, "block"), (4, "size"))]
+    draws = draws.select(*[F.col(c).alias(f"{own}{c}") for c in ("src", "block", "pass", "shard", "whole")])
+    parts = parts.select(F.col("key").alias(f"{own}key"), F.coalesce("part", F.lit(0)).alias(f"{own}part"))
+    rows = docs.select("*", *made).where(size > 0).join(draws, [f"{own}src", f"{own}block"]).join(parts, f"{own}key", "left")
     words = F.filter(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.coalesce(F.col("__part"), F.lit(0))
-    rows = rows.where(F.col("__whole") | (part > 0))
-    text = F.when(F.col("__whole") | (part >= F.col("__size")), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.greatest(part, F.lit(1)).cast("int")), " "))
-    rows = rows.withColumn("__text", text).withColumn("__at", F.xxhash64(F.lit(seed), "__key", "__pass"))
-    rows = rows.repartition("__shard").sortWithinPartitions("__shard", "__at")
-    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    some = F.coalesce(part, F.lit(0))
+    rows = rows.where(whole | (some > 0))
+    text = F.when(whole | (some >= size), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.greatest(some, F.lit(1)).cast("int")), " "))
+    rows = rows.withColumn(f"{own}text", text).withColumn(f"{own}at", F.xxhash64(F.lit(seed), key, pass_))
+    rows = rows.repartition(shard).sortWithinPartitions(shard, at)
+    return rows.select(*[F.col(f"{own}text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir):
-    return taken(table(spark, sf_dir, "documents")).drop("shards")
+    shards = F.array_join(F.transform("shards", lambda x: x.cast("string")), ",")
+    return taken(table(spark, sf_dir, "documents")).withColumn("shards", F.coalesce(shards, F.lit("")))

@@ -58,6 +58,45 @@ def test_odd_sources(spark):
     assert all(abs(by.get(s, 0) - want[s]) <= 2 for s in sizes)
 
 
+def test_shards_get_what_the_tree_deals(spark):
+    """Every draw of a block is in one shard, in the run that the tree gave it, and the blocks' words add up to the taken ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sized, draws, parts, _ = mixing.plan(docs, block_docs=8)
+    sizes = {}
+    for r in sized.collect():
+        sizes.setdefault((r.src, r.block), []).append((r.size, r.key))
+    part = {r.key: r.part for r in parts.collect()}
+    by_shard, drawn, words = {}, set(), 0
+    for r in draws.collect():
+        assert (r.src, r.block, r["pass"]) not in drawn
+        drawn.add((r.src, r.block, r["pass"]))
+        by_shard[r.shard] = by_shard.get(r.shard, 0) + 1
+        words += sum(size if r.whole else part.get(key, 0) for size, key in sizes[r.src, r.block])
+    assert len(by_shard) == 32 and max(by_shard.values()) - min(by_shard.values()) <= 1
+    quotas = {}
+    for src, _, _ in drawn:
+        quotas[src] = quotas.get(src, 0) + 1
+    tree = mixing.split_tree(spark.createDataFrame(sorted(quotas.items()), "src string, draws long"), 5, 7).collect()
+    assert {(r.src, r.shard): r.draws for r in tree} == {(r.src, r.shard): r.n for r in draws.groupBy("src", "shard").agg(F.count("*").alias("n")).collect()}
+    got = mixing.taken(docs, block_docs=8).collect()
+    assert sum(r.taken for r in got) == words
+    shards = {r.key: 0 for r in sized.collect()}
+    assert len(shards) and all((r.taken > 0) <= bool(r.shards) for r in got)
+    assert {x for r in mixing.query(spark, SF).collect() for x in r.shards.split(",") if x} == {str(x) for x in range(32)}
+
+
+def test_blocks_in_order(spark):
+    rows = [(f"s{i % 3}", i, 1 + i * 7 % 11) for i in range(500)]
+    got = mixing.in_order(spark.createDataFrame(rows, "src string, block long, words long"), 3, 16)
+    at = {(r.src, r.block): r["at"] for r in got.select("src", "block", F.xxhash64(F.lit(3), "src", "block").alias("at")).collect()}
+    for src in ("s0", "s1", "s2"):
+        mine = sorted((r for r in got.collect() if r.src == src), key=lambda r: (at[r.src, r.block], r.block))
+        upto = 0
+        for k, r in enumerate(mine):
+            upto += r.words
+            assert (r["rank"], r.upto, r.n_blocks) == (k, upto, len(mine))
+
+
 def test_empty(spark, none):
     assert mixing.taken(none).count() == 0 and mixing.mixed(none).count() == 0
 
