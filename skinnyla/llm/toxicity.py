@@ -353,8 +353,10 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns; all of them where no toxic word could be learned."""
     model = fit(docs, training_labels(labels, id_col), most, id_col, text_col)
+    if not model[1]:
+        return docs
     own = f"{unused(docs.columns)}score"
     return score(docs, model, docs.columns, text_col, own).where(F.col(own) < 0.5).drop(own)
 

@@ -78,3 +78,36 @@ def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == stages["packing"].columns
     assert sorted(map(str, got.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(str, stages["packing"].select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def texts_after(name, rows):
+    """What a stage leaves of the odd documents' ids, by the rules that its docstring states."""
+    ids = [r.doc_id for r in rows]
+    if name == "ngram_jaccard_join":
+        return [None, 1, 3, 4, 6, 7]
+    if name == "mixing":
+        return None
+    return ids
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path, name):
+    spark.createDataFrame([(i, i % 2, int(i == 100)) for i in range(90, 110)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd.withColumn("__key", odd.start).withColumn("text_key", odd.length).withColumn("score", odd.length)
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    empty = stage(spark, none, str(tmp_path))
+    assert empty.count() == 0
+    if name == "packing":
+        assert sum(r.start == 0 for r in rows) == 9 and {r.length for r in rows if r.doc_id in (1, 2)} == {1}
+        return
+    assert out.columns == docs.columns and empty.columns == none.columns
+    want = texts_after(name, docs.collect())
+    if want is not None:
+        assert sorted((r.doc_id is not None, r.doc_id or 0) for r in rows) == sorted((i is not None, i or 0) for i in want)
+    else:
+        assert all(r.text and r.text.strip() for r in rows) and {r.doc_id for r in rows} <= {None, 3, 4, 5, 6}
+    by = {r.doc_id: r for r in docs.collect()}
+    for r in rows:
+        assert (r["__key"], r.text_key, r.score) == (by[r.doc_id]["__key"], by[r.doc_id].text_key, by[r.doc_id].score)
