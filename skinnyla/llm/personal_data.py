@@ -311,12 +311,13 @@ def tokens_in(docs: DataFrame, learned: frozenset[str], id_col: str, text_col: s
 def learned_contexts(docs: DataFrame, extracted: DataFrame, least_seeds: int, id_col: str, text_col: str) -> frozenset[str]:
     """The contexts of at least least_seeds distinct seeds that hold a fair share of seeds, counted over all texts.
 
-    Contexts that hold too many other instances in a fiftieth of the texts already, as common words do, can hold no
-    fewer in all of them: they are left out before all texts are read.
+    Contexts that hold too many other instances in a fiftieth of the texts already, as common words do, or in an
+    eighth, can hold no fewer in all of them: they are left out before all texts are read.
     """
     induced = extracted.where(F.size("induced") > 0).select(F.explode("induced").alias("i")).select("i.instance", F.explode("i.patterns").alias("pattern"))
     seeds = {r.pattern: r.n for r in induced.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= least_seeds).collect()}
-    for some in (docs.where(F.pmod(row_key(id_col, text_col), F.lit(50)) == 0), docs):
+    for share in (50, 8, 1):
+        some = docs.where(F.pmod(row_key(id_col, text_col), F.lit(share)) == 0) if share > 1 else docs
         over = crowded(some, seeds, text_col) if seeds else ()
         seeds = {p: n for p, n in seeds.items() if p not in over}
     return frozenset(seeds)
