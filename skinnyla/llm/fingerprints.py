@@ -64,7 +64,9 @@ def kept(terms: Column, words: tuple[Column, Column]) -> Column:
 
 
 def part_of(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term, F.lit(parts)), F.lit(parts))
+    """Which part of the lexicon a term is in: bits of its hash, others for each number of parts (a power of 2)."""
+    first = sum(p.bit_length() - 1 for p, _ in PARTS if p < parts)
+    return F.shiftright(term, first).bitwiseAND(F.lit(parts - 1))
 
 
 def text_of(marks: Column) -> Column:

@@ -54,10 +54,10 @@ def plain_marks(texts, edited, band=fingerprints.BAND):
     def marks(t):
         every = sorted(terms(t))
         own = [x for x in every if x in lexicon]
-        part = lambda x, parts: xxhash.xxh64_intdigest(parts.to_bytes(4, "little"), hash_of(x))
-        out = [hash_of(*(own or every)) & 0xFFFFFFFF]
+        out, used = [hash_of(*(own or every)) & 0xFFFFFFFF], 1
         for parts, n in fingerprints.PARTS[1:]:
-            dealt = [(signed(part(x, parts)) % parts, x) for x in own]
+            dealt = [(x // used % parts, x) for x in own]
+            used *= parts
             for k in range(n):
                 mine = [x for p, x in dealt if p == k]
                 out.append(hash_of(*mine) & 0xFFFFFFFF if mine else None)
