@@ -8,14 +8,11 @@ components are hashes of the sorted distinct terms of a text that lie in randomi
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skinnyla.llm.common import table
 
-#: Buckets of the lexicon's literal.
-BUCKETS = 1 << 16
 #: Band of document frequency, as a share of the documents.
 BAND = (0.002, 0.25)
 #: Most blocks of the id's range.
@@ -35,32 +32,55 @@ def hashed_terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words_of(text), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lexicon(docs: DataFrame, text: Column, band=BAND) -> tuple[Column, Column]:
-    """The hashes of the terms whose document frequency lies in the band, by bucket, and where buckets begin.
+def lexicon(docs: DataFrame, text: Column, band=BAND) -> tuple[Column, int]:
+    """The hashes of the terms whose document frequency lies in the band, as a table of two places for each, and its mask.
 
     Counts are aggregated before the shuffle; the driver collects what lies in the band only.
     """
     n = docs.count()
     low, high = max(2.0, band[0] * n), max(3.0, band[1] * n)
     terms = docs.select(F.explode(F.array_distinct(words_of(text))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("t"))
-    held = terms.groupBy("t").count().where(F.col("count").between(low, high)).select("t").toArrow().column("t").to_numpy()
-    bucket = held & (BUCKETS - 1)
-    held = held[np.lexsort((held, bucket))]
-    begins = np.searchsorted(np.sort(bucket), np.arange(BUCKETS + 1))
-    literal = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",")  # noqa: E731 - folded into a literal
-    return literal(held if len(held) else np.zeros(1, np.int64)).cast("array<bigint>"), literal(begins).cast("array<int>")
+    held = terms.groupBy("t").count().where(F.col("count").between(low, high)).select("t").toArrow().column("t").to_pylist()
+    slots = place(sorted(held))
+    return F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>"), len(slots) - 1  # folded into a literal
 
 
-def kept(terms: Column, words: tuple[Column, Column]) -> Column:
+def places(term: int, mask: int) -> tuple[int, int]:
+    return term & mask, term >> 32 & mask
+
+
+def place(terms: list[int]) -> list[int]:
+    """A table of a power of 2 in which each term stands at one of its two places; a term moves the one it meets to its other.
+
+    A free place holds a number that is looked up elsewhere.
+    """
+    first = max(4, (3 * len(terms)).bit_length())
+    for size in (1 << k for k in range(first, first + 8)):
+        slots: list[int | None] = [None] * size
+        for term in terms:
+            at = places(term, size - 1)[0]
+            for _ in range(500):
+                term, slots[at] = slots[at], term
+                if term is None:
+                    break
+                a, b = places(term, size - 1)
+                at = b if at == a else a
+            else:
+                break  # a circle: a larger table
+        else:
+            return [(0 if i == size - 1 else -1) if x is None else x for i, x in enumerate(slots)]
+    raise ValueError("the terms are no hashes: too many have the same places")
+
+
+def kept(terms: Column, words: tuple[Column, int]) -> Column:
     """The terms that are in the lexicon, sorted."""
-    held, begins = words
+    slots, mask = words
 
     def known(t: Column) -> Column:
-        b = t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        first = F.element_at(begins, b + 1)
-        return F.array_contains(F.slice(held, first + 1, F.element_at(begins, b + 2) - first), t)
+        first, second = t.bitwiseAND(F.lit(mask)), F.shiftright(t, 32).bitwiseAND(F.lit(mask))
+        return (F.get(slots, first.cast("int")) == t) | (F.get(slots, second.cast("int")) == t)
 
-    return F.array_sort(F.filter(terms, known))
+    return F.sort_array(F.filter(terms, known))
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -80,7 +100,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), same / any_)
 
 
-def fingerprint(docs: DataFrame, text_col: str = "text", band=BAND) -> tuple[DataFrame, tuple[Column, Column]]:
+def fingerprint(docs: DataFrame, text_col: str = "text", band=BAND) -> tuple[DataFrame, tuple[Column, int]]:
     """docs with a column marks (the components), and the lexicon they were made with.
 
     A null text is empty. Texts without a term of the lexicon are told by all their terms; equal texts have
@@ -91,7 +111,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", band=BAND) -> tuple[Dat
     return with_marks(docs, text, words, "marks"), words
 
 
-def with_marks(df: DataFrame, text: Column, words: tuple[Column, Column], name: str) -> DataFrame:
+def with_marks(df: DataFrame, text: Column, words: tuple[Column, int], name: str) -> DataFrame:
     """df with the components of a text: array<long>, 32 bits of a hash for each subset, null where it has no term.
 
     The first component, of the whole lexicon, falls back on all terms where none is in the lexicon. Terms
@@ -110,7 +130,7 @@ def with_marks(df: DataFrame, text: Column, words: tuple[Column, Column], name:
     names = df.columns
     df = df.withColumn("__every", hashed_terms(text)).withColumn("__own", kept(F.col("__every"), words))
     df = df.withColumns({f"__few{parts}": few(parts, k) for parts, k in PARTS if parts > 1})
-    marks = [F.coalesce(mark(F.col("__own")), F.xxhash64(F.array_sort("__every")).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    marks = [F.coalesce(mark(F.col("__own")), F.xxhash64(F.sort_array("__every")).bitwiseAND(F.lit(0xFFFFFFFF)))]
     marks += [mark(subset(parts, k)) for parts, n in PARTS if parts > 1 for k in range(n)]
     return df.select(*[F.col(f"`{c}`") for c in names], F.array(*marks).alias(name))
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import pytest
 import regex
 import xxhash
 
@@ -81,6 +83,19 @@ def test_fingerprints_and_likeness_equal_plain_ones(spark):
         assert abs(r.near_edited - like(own[k], other[k])) < 1e-12 and abs(r.near_next - like(own[k], own[(k + 1) % len(rows)])) < 1e-12
 
 
+def test_every_term_has_its_place():
+    rng = random.Random(3)
+    for n in (0, 1, 5, 3000):
+        terms = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+        terms += [0, -1, 5 << 32] * (n > 1)
+        slots = fingerprints.place(terms)
+        holds = lambda x: x in {slots[i] for i in fingerprints.places(x, len(slots) - 1)}
+        assert all(map(holds, terms)) and len(slots) <= 16 * max(16, n)
+        assert not any(holds(x) for x in [*range(-200, 200), *(rng.randrange(-(1 << 63), 1 << 63) for _ in range(500))] if x not in terms)
+    with pytest.raises(ValueError, match="no hashes"):
+        fingerprints.place([0, 5, 5 << 32])
+
+
 def test_blocks_and_ties(spark):
     rows = [(i * i % 997, f"text number {i} " * (i % 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
