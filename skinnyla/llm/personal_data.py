@@ -46,6 +46,8 @@ QUOTED = {q: re.compile(f"[^{q}\n]+(?={q})") for q in "'\"`"}
 ASSIGNED = re.compile(r"""\s*[=:]\s*["'`]?""")
 #: Least share of seeds in a context's distinct instances. Under it other patterns would have to vouch for nearly all.
 SEED_SHARE = 0.2
+#: Words that are looked for one by one before a text is cut into pieces; with more the pieces are faster.
+MOST_WORDS = 64
 
 SPAN = "struct<kind: string, start: int, end: int>"
 FOUND = "struct<start: int, end: int, instance: long, seed: boolean, known: boolean, patterns: array<string>>"
@@ -143,6 +145,11 @@ def instance_of(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def sigma(low: str) -> str:
+    """One letter for both small sigmas, the only letter whose lower case depends on what is around it."""
+    return low.replace("\u03c2", "\u03c3")
+
+
 def norm(gap: str) -> str:
     """The gap with each run of blanks as one."""
     return " ".join(f".{gap}.".split())[1:-1]
@@ -153,9 +160,9 @@ class Contexts:
 
     def __init__(self, patterns: Iterable[str]):
         self.left, self.words, self.one, self.others = set(patterns), Counter(), Counter(), {"two": {}, "both": {}}
+        self.beside: dict[str, Counter[str]] = {}  # what else stands in a text with a context of this word
         for p in self.left:
             self.count(p, 1)
-        self.skips = len(self.words) <= 64 and all(map(str.isascii, self.left))
 
     def __contains__(self, pattern: str) -> bool:
         return pattern in self.left
@@ -165,6 +172,8 @@ class Contexts:
         parts = rest.split("\t")
         word = parts[2 if kind == "two" else 0]
         changes = [(self.words, word), (self.one, word)] if kind == "one" else [(self.words, word), (self.others[kind].setdefault(word, Counter()), parts[0 if kind == "two" else -1])]
+        if kind != "one":
+            changes.append((self.beside.setdefault(word, Counter()), sigma("".join(parts[:3] if kind == "two" else parts[2:]))))
         for held, key in changes:
             held[key] += by
             if not held[key]:
@@ -175,11 +184,17 @@ class Contexts:
         self.count(pattern, -1)
 
     def absent(self, text: str) -> bool:
-        """Whether the text surely has no context: all contexts are few and plain, and the words of none are in it."""
-        if not self.skips:
+        """Whether the text surely has no context: neither a word with a context of its own nor a word and what stands
+        beside it. Many words are not looked for this way."""
+        if len(self.words) > MOST_WORDS:
             return False
-        low = text.lower()
-        return not any(w in low and (w in self.one or any(x in low for own in self.others.values() for x in own.get(w, ()))) for w in self.words)
+        low = sigma(text.lower())
+        held = [w for w in self.words if sigma(w) in low]
+        if not held or any(w in self.one for w in held):
+            return not held
+        near = [x for w in held for x in self.beside[w] if all(part in low for part in x.split())]
+        low = " ".join(low.split()) if near else low  # gaps are kept with each run of blanks as one
+        return not any(x in low for x in near)
 
     def places(self, low: list[str], pieces: list[tuple[str, str]]) -> list[int]:
         """The pieces behind the words of a context, without most that cannot be in one."""
@@ -311,12 +326,14 @@ def tokens_in(docs: DataFrame, learned: frozenset[str], id_col: str, text_col: s
 def learned_contexts(docs: DataFrame, extracted: DataFrame, least_seeds: int, id_col: str, text_col: str) -> frozenset[str]:
     """The contexts of at least least_seeds distinct seeds that hold a fair share of seeds, counted over all texts.
 
-    Contexts that hold too many other instances in a fiftieth of the texts already, as common words do, can hold no
-    fewer in all of them: they are left out before all texts are read.
+    Contexts that hold too many other instances in a part of the texts already, as common words do, can hold no fewer
+    in all of them: a fiftieth of the texts leaves the common ones out, a sixth most of those that are there by chance,
+    and all texts are read for what is left.
     """
     induced = extracted.where(F.size("induced") > 0).select(F.explode("induced").alias("i")).select("i.instance", F.explode("i.patterns").alias("pattern"))
     seeds = {r.pattern: r.n for r in induced.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= least_seeds).collect()}
-    for some in (docs.where(F.pmod(row_key(id_col, text_col), F.lit(50)) == 0), docs):
+    for part in (50, 6, 1):
+        some = docs if part == 1 else docs.where(F.pmod(row_key(id_col, text_col), F.lit(part)) == 0)
         over = crowded(some, seeds, text_col) if seeds else ()
         seeds = {p: n for p, n in seeds.items() if p not in over}
     return frozenset(seeds)

@@ -154,3 +154,22 @@ def test_contexts_of_base_matches_mark_tokens_of_any_form(spark):
 def test_common_contexts_are_not_learned(spark):
     rows = [(i, f"the 10.0.0.{i} of") for i in range(6)] + [(100 + i, f"the w{i}x of") for i in range(60)]
     assert all(r.spans == [] for r in pd_.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect())
+
+
+def test_skipped_texts_hold_no_context(monkeypatch):
+    """Texts are skipped by their words; all tokens in learned contexts are found as if none were skipped."""
+    rng = random.Random(5)
+    words = ["password", "ΟΔΟΣ", "οδος", "οδοσ", "the", "Käse", "İd", "x1", "a@b.c", "4111 1111 1111 1111", "with.", "ung", "."]
+    gaps = [" ", "  ", "\t", "\n ", "=", ": ", '="', '" ', " (", ") ", ", ", " "]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    every = sorted({p for t in texts[:300] for *_, ps in pd_.in_contexts(t, pd_.seeds_of(t)) for p in ps})
+    skipped = 0
+    for k in range(60):
+        contexts = pd_.Contexts(rng.sample(every, rng.randint(1, 4)))
+        for t in texts[50 * k : 50 * k + 50]:
+            with monkeypatch.context() as m:
+                m.setattr(pd_, "MOST_WORDS", -1)
+                plain = list(pd_.in_contexts(t, None, contexts))
+            skipped += contexts.absent(t)
+            assert list(pd_.in_contexts(t, None, contexts)) == plain, (t, contexts.left)
+    assert skipped > 100
