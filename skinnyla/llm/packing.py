@@ -64,17 +64,18 @@ class Encoder:
         if self.other(text) or any(x in text for x in self.special):
             return self.whole(text)
         words, known = text.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.cache_entries:
-                known.clear()
-            new = {w: [w] if w.isalpha() else self.split(w) for w in set(words).difference(known)}
-            parts = list({p for x in new.values() for p in x}.difference(known))
-            made = {p: pack_ids(e.ids) for p, e in zip(parts, self.parts.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
-            made |= {w: b"".join([known[p] if p in known else made[p] for p in x]) for w, x in new.items() if len(x) > 1}
-            known.update((w, x) for w, x in made.items() if len(w) <= 64)
-            return b"".join([known[w] if w in known else made[w] for w in words])
+        out = list(map(known.get, words))
+        if None not in out:
+            return b"".join(out)
+        if len(known) > self.cache_entries:
+            known.clear()
+        missing = {w for w, x in zip(words, out, strict=True) if x is None}
+        new = {w: [w] if w.isalpha() else self.split(w) for w in missing}
+        parts = [p for p in {p for x in new.values() for p in x} if p not in known]
+        made = {p: pack_ids(e.ids) for p, e in zip(parts, self.parts.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
+        made |= {w: b"".join([known[p] if p in known else made[p] for p in x]) for w, x in new.items() if len(x) > 1}
+        known.update((w, x) for w, x in made.items() if len(w) <= 64)
+        return b"".join([made[w] if x is None else x for w, x in zip(words, out, strict=True)])
 
 
 def pack_ids(ids: list[int]) -> bytes:
